@@ -53,7 +53,7 @@ def seed_hashes(ids: np.ndarray, masks: Sequence[str] = MASKS) -> list[tuple[np.
         for o in offsets[1:]:
             ok &= known[o : o + n]
         at = np.flatnonzero(ok)
-        h = np.full(len(at), np.uint64(m + 1) * np.uint64(0xD6E8FEB86659FD93), dtype=np.uint64)
+        h = np.full(len(at), (m + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         for k, o in enumerate(offsets):
             h += mixed[at + o] * _FACTORS[m, k]
         h ^= h >> np.uint64(29)
