@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, packing, pii, quality, sharding, simhash
+from quire.llm import decontamination, language, licenses, packing, pii, quality, rules, sharding, simhash, urls
 from quire.llm.common import read
 
 #: Shards of ``op10_sharding``, of equal weight.
@@ -25,21 +25,50 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language.predict(docs, language.train(docs))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judged(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), [1.0] * SHARDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_simhash, op3_packing, op5_quality, op8_pii, op10_sharding)
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_simhash,
+        op3_packing,
+        op4_licenses,
+        op5_quality,
+        op6_urls,
+        op7_language,
+        op8_pii,
+        op9_rules,
+        op10_sharding,
+    )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_licenses": licenses.scan_sql(), "op9_rules": rules.judged_sql()}
