@@ -43,12 +43,12 @@ class Encoder:
     def grams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per trigram occurrence: its text and its number among the distinct trigrams; those as (k, 3) code points; whether a text has a letter."""
         raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for t in texts]
-        sizes = np.array([len(r) + 1 for r in raw])
+        sizes = np.array([len(r) + 2 for r in raw])
         codes = np.zeros(int(sizes.sum()), dtype=np.uint32)
         at = 0
         for r in raw:
             codes[at + 1 : at + 1 + len(r)] = r
-            at += len(r) + 1
+            at += len(r) + 2
         owner = np.repeat(np.arange(len(texts)), sizes)
         there = np.flatnonzero(np.bincount(codes))
         slot = np.zeros(int(there[-1]) + 1, dtype=np.int64)

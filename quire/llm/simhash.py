@@ -261,7 +261,7 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     groups = cut(near_duplicates(docs, words, similarity, id_col, text_col))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("least"), F.col("node").alias("node"))).alias("best"))
     stays = first.select(F.col("best.least").alias("_keep_id"), F.col("best.node").alias("_keep_node"))
-    on = (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_keep_node")) & F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id"))
+    on = (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == stays["_keep_node"]) & docs[id_col].cast("long").eqNullSafe(stays["_keep_id"])
     kept = docs.join(stays, on, "left_semi")
     repeats = groups.agg(F.max(F.col("n") - F.col("own")).alias("r")).first()["r"]
     return kept.dropDuplicates([id_col, text_col]) if repeats else kept
