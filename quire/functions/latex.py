@@ -4,11 +4,14 @@ are plain functions behind one vectorised UDF."""
 from __future__ import annotations
 
 import re
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import let
+
 #: Environments that are balanced, delimiters that may follow \left and \right, commands that go, and replacements, in order.
 ENVIRONMENTS = ("array", "matrix", "pmatrix", "bmatrix", "vmatrix", "Bmatrix", "Vmatrix", "cases", "aligned", "gathered", "align", "align*")
 DELIMITERS = (
@@ -128,14 +131,18 @@ def command_count(s: Column, command: str) -> Column:
 def balanced_environments(s: Column) -> Column:
     r"""Missing \begin are put in front, with the format that the environment's first \begin has (an array's is {c} without), missing \end behind."""
     for env in ENVIRONMENTS:
-        begins, ends = (F.regexp_count(s, F.lit(rf"\\{side}\{{\Q{env}\E\}}")) for side in ("begin", "end"))
-        found = rf"\\begin\{{\Q{env}\E\}}(\{{[^}}]*\}})"
-        form = F.when(s.rlike(found), F.regexp_extract(s, found, 1)).otherwise(F.lit("{c}" if env == "array" else ""))
-        before = F.repeat(F.concat(F.lit(rf"\begin{{{env}}}"), form, F.lit(" ")), F.greatest(ends - begins, F.lit(0)))
-        s = F.concat(before, s, F.repeat(F.lit(rf" \end{{{env}}}"), F.greatest(begins - ends, F.lit(0))))
+        s = let(s, partial(_balanced, env))
     return s
 
 
+def _balanced(env: str, s: Column) -> Column:
+    begins, ends = (F.regexp_count(s, F.lit(rf"\\{side}\{{\Q{env}\E\}}")) for side in ("begin", "end"))
+    found = rf"\\begin\{{\Q{env}\E\}}(\{{[^}}]*\}})"
+    form = F.when(s.rlike(found), F.regexp_extract(s, found, 1)).otherwise(F.lit("{c}" if env == "array" else ""))
+    before = F.repeat(F.concat(F.lit(rf"\begin{{{env}}}"), form, F.lit(" ")), F.greatest(ends - begins, F.lit(0)))
+    return F.concat(before, s, F.repeat(F.lit(rf" \end{{{env}}}"), F.greatest(begins - ends, F.lit(0))))
+
+
 def without_up(s: Column) -> Column:
     r"""\upalpha and the like lose their up; \uparrow, \updownarrow, \uplus and \upsilon are names of their own."""
     return F.regexp_replace(s, r"\\up(?!(?:arrow|downarrow|lus|silon)(?![a-zA-Z]))([a-zA-Z]+)", r"\\$1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ LIGATURES = (("\u0002", "-"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ
 END_TOKEN = "<|im_end|>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body (or a lambda in it) uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trim(s: Column) -> Column:
     """Without Unicode white space at both ends."""
     return F.regexp_replace(s, r"(?U)^\s+|\s+\z", "")

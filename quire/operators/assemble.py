@@ -158,7 +158,7 @@ def assemble(regions: DataFrame) -> DataFrame:
     pages = pages.withColumn("_bodies", F.filter("_r", lambda r: r["kind"].isin(*VISUAL_KINDS)))
     sats = F.filter("_r", lambda r: r["kind"].isin("caption", "footnote"))
     pages = pages.withColumn(
-        "_sats", F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_body(F.col("_bodies"), s["bbox"]).alias("place")))
+        "_sats", t.let(F.col("_bodies"), lambda bodies: F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_body(bodies, s["bbox"]).alias("place"))))
     )
     flow = F.filter("_r", lambda r: r["kind"].isin("text", "equation", *VISUAL_KINDS))
 
@@ -200,7 +200,7 @@ def assemble_hybrid(regions: DataFrame, doc_titles: DataFrame | None = None) ->
     pages = pages.withColumn("_bodies", F.filter("_r", lambda r: r["kind"].isin(*VISUAL_KINDS)))
     sats = F.filter("_r", lambda r: r["kind"].isin("caption", "footnote"))
     pages = pages.withColumn(
-        "_sats", F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_body(F.col("_bodies"), s["bbox"]).alias("place")))
+        "_sats", t.let(F.col("_bodies"), lambda bodies: F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_body(bodies, s["bbox"]).alias("place"))))
     )
 
     def made(r: Column) -> Column:
@@ -228,9 +228,9 @@ def assemble_vlm(blocks: DataFrame) -> DataFrame:
     )
     pages = _pages(ready, ("kind", "role", "level", "bbox", "lines", "latex", "html", "image"))
     pages = pages.withColumn("_bodies", F.filter("_r", lambda r: r["kind"].isin(*VISUAL_KINDS, "code")))
-    sats = F.concat(*[F.filter("_r", lambda r, k=k: r["kind"] == k) for k in ("caption", "footnote")])
+    sats = F.concat(F.filter("_r", lambda r: r["kind"] == "caption"), F.filter("_r", lambda r: r["kind"] == "footnote"))
     pages = pages.withColumn(
-        "_sats", F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_visual(F.col("_bodies"), s["bbox"]).alias("place")))
+        "_sats", t.let(F.col("_bodies"), lambda bodies: F.transform(sats, lambda s: F.struct(s["kind"].alias("kind"), s["bbox"].alias("bbox"), s["lines"].alias("lines"), nearest_visual(bodies, s["bbox"]).alias("place"))))
     )
     text = F.transform(
         F.filter("_r", lambda r: r["kind"].isin("text", "equation")),

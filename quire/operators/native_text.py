@@ -24,49 +24,55 @@ START_SIGNS = "(（\"“【{《<「『["
 GLYPHS = "doc_id long, page_idx int, char_idx int, ch string, x0 float, y0 float, x1 float, y1 float, rotation float, font string, size int, weight int"
 
 
-def kept_glyphs(ch: list[str], box: np.ndarray, sign: list[tuple]) -> np.ndarray:
+def kept_glyphs(ch: list[str], box: list[tuple], sign: list[tuple]) -> list[bool]:
     """Which glyphs of a page stay. White space does. Others go if they are the last kept glyph shifted a little (a shadow), or nearly
-    cover an earlier kept glyph of the same signature."""
-    keep = np.zeros(len(ch), dtype=bool)
-    seen: dict[tuple, list[np.ndarray]] = {}
+    cover an earlier kept glyph of the same signature. Kept glyphs are found by signature and square of the tolerance's size."""
+    keep = [False] * len(ch)
+    seen: dict[tuple, list[tuple]] = {}
     last = -1
     for i, c in enumerate(ch):
         if not c.isspace():
-            if last >= 0 and sign[last] == sign[i] and _is_shadow(box[last], box[i]):
+            b = box[i]
+            if last >= 0 and sign[last] == sign[i] and _is_shadow(box[last], b):
                 continue
-            mine = seen.setdefault(sign[i], [])
-            if any((np.abs(box[i] - b) <= NEAR).all() for b in mine):
+            x, y = int(b[0] // NEAR), int(b[1] // NEAR)
+            around = [o for u in (x - 1, x, x + 1) for v in (y - 1, y, y + 1) for o in seen.get((sign[i], u, v), ())]
+            if any(all(abs(p - q) <= NEAR for p, q in zip(b, o, strict=True)) for o in around):
                 continue
-            mine.append(box[i])
+            seen.setdefault((sign[i], x, y), []).append(b)
         keep[i] = True
         last = i
     return keep
 
 
-def _is_shadow(a: np.ndarray, b: np.ndarray) -> bool:
-    d = b - a
+def _is_shadow(a: tuple, b: tuple) -> bool:
+    d = [np.float32(q) - np.float32(p) for p, q in zip(a, b, strict=True)]
     if abs(d[0] - d[2]) > np.float32(RIGID) or abs(d[1] - d[3]) > np.float32(RIGID):
         return False
     if not all(NEAR < abs(v) <= SHIFT for v in d[:2]):
         return False
     w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
     smaller = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return bool(w > 0 and h > 0 and smaller != 0 and w * h / smaller >= np.float32(OVERLAP))
+    return bool(w > 0 and h > 0 and smaller != 0 and np.float32(w * h / smaller) >= np.float32(OVERLAP))
 
 
-def span_numbers(ch: list[str], box: np.ndarray, style: list[tuple]) -> np.ndarray:
+def span_numbers(ch: list[str], box: list[tuple], style: list[tuple]) -> list[int]:
     """A span ends where the style changes from its first glyph's, after a newline or soft hyphen, or before a superscript to its right."""
-    out = np.zeros(len(ch), dtype=np.int64)
-    first, now = 0, box[0].copy() if len(ch) else None
-    for i in range(1, len(ch)):
-        h = now[3] - now[1]
-        b = box[i]
-        raised = b[1] < now[1] - h * np.float32(SUPER_RISE) and b[3] < h * np.float32(SUPER_HEIGHT) + now[1] and b[0] > now[2]
-        if style[i] != style[first] or ch[i - 1] in "\n\x02" or raised:
-            first, now = i, b.copy()
+    out = [0] * len(ch)
+    rise, tall = float(np.float32(SUPER_RISE)), float(np.float32(SUPER_HEIGHT))
+    first = 0
+    for i, b in enumerate(box):
+        if not i:
+            x0, y0, x1, y1 = b
+            continue
+        h = y1 - y0
+        raised = b[1] < y0 - h * rise and b[3] < h * tall + y0 and b[0] > x1
+        if raised or style[i] != style[first] or ch[i - 1] in "\n\x02":
+            first = i
+            x0, y0, x1, y1 = b
             out[i] = out[i - 1] + 1
         else:
-            now = np.array([min(now[0], b[0]), min(now[1], b[1]), max(now[2], b[2]), max(now[3], b[3])], dtype=np.float32)
+            x0, y0, x1, y1 = min(x0, b[0]), min(y0, b[1]), max(x1, b[2]), max(y1, b[3])
             out[i] = out[i - 1]
     return out
 
@@ -91,20 +97,22 @@ def line_numbers(last: list[str], box: np.ndarray, rotation: np.ndarray) -> np.n
 
 def _page(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("char_idx", kind="stable").reset_index(drop=True)
-    box = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.float32)
     rotation = pdf["rotation"].to_numpy(np.float32)
-    style = list(zip(pdf["font"], pdf["size"], pdf["weight"], rotation, strict=True))
-    half_up = np.trunc(rotation * np.float32(1000) + np.copysign(np.float32(0.5), rotation)).astype(np.int64)
-    sign = list(zip(pdf["ch"], pdf["font"], pdf["size"], pdf["weight"], half_up, strict=True))
-    keep = kept_glyphs(list(pdf["ch"]), box, sign)
-    pdf, box, rotation = pdf[keep].reset_index(drop=True), box[keep], rotation[keep]
-    ch = list(pdf["ch"])
-    spans = span_numbers(ch, box, [s for s, k in zip(style, keep, strict=True) if k])
+    half_up = np.trunc(rotation * np.float32(1000) + np.copysign(np.float32(0.5), rotation)).astype(np.int64).tolist()
+    box = list(zip(*(pdf[c].tolist() for c in ("x0", "y0", "x1", "y1")), strict=True))
+    font = [pdf[c].tolist() for c in ("font", "size", "weight")]
+    style = list(zip(*font, rotation.tolist(), strict=True))
+    keep = np.array(kept_glyphs(pdf["ch"].tolist(), box, list(zip(pdf["ch"].tolist(), *font, half_up, strict=True))), dtype=bool)
+    left = np.flatnonzero(keep).tolist()
+    pdf, rotation = pdf[keep].reset_index(drop=True), rotation[keep]
+    ch = pdf["ch"].tolist()
+    spans = np.array(span_numbers(ch, [box[i] for i in left], [style[i] for i in left]), dtype=np.int32)
     starts = np.flatnonzero(np.append(True, spans[1:] != spans[:-1])) if len(ch) else np.zeros(0, int)
     ends = np.append(starts[1:], len(ch))
-    around = np.array([[*box[a:b, :2].min(axis=0), *box[a:b, 2:].max(axis=0)] for a, b in zip(starts, ends, strict=True)], dtype=np.float32).reshape(-1, 4)
+    corners = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.float32)
+    around = np.concatenate([np.minimum.reduceat(corners[:, :2], starts), np.maximum.reduceat(corners[:, 2:], starts)], axis=1) if len(ch) else np.zeros((0, 4), np.float32)
     lines = line_numbers([ch[b - 1] for b in ends], around, rotation[starts])
-    return pdf.assign(span_idx=spans.astype(np.int32), line_idx=lines[spans].astype(np.int32) if len(ch) else spans.astype(np.int32))
+    return pdf.assign(span_idx=spans, line_idx=lines[spans].astype(np.int32) if len(ch) else spans)
 
 
 def group_glyphs(glyphs: DataFrame) -> DataFrame:
@@ -140,22 +148,29 @@ def _belongs(b: Column, line: Column, ch: Column) -> Column:
 
 def median(values: Column) -> Column:
     """Of an array of floats, the middle one or the mean of the two; 0 for none."""
-    s, n = F.array_sort(values), F.size(values)
-    at = lambda i: F.get(s, i.cast("int"))
-    half = F.floor(n / 2)
-    return F.when(n == 0, g.f32(0)).when(n % 2 == 1, at(half)).otherwise(g.f32((at(half - 1) + at(half)) / 2))
+
+    def middle(s: Column) -> Column:
+        n = F.size(s)
+        at = lambda i: F.get(s, i.cast("int"))
+        half = F.floor(n / 2)
+        return F.when(n == 0, g.f32(0)).when(n % 2 == 1, at(half)).otherwise(g.f32((at(half - 1) + at(half)) / 2))
+
+    return t.let(F.array_sort(values), middle)
 
 
 def spaced(chars: Column) -> Column:
     """Glyphs (ch, x0, x1) in order as text, with a blank in gaps above a quarter of their median width unless a side is one."""
     limit = median(F.transform(chars, lambda c: F.greatest(c["x1"] - c["x0"], g.f32(0)))) * g.f32(SPACE)
 
-    def one(c: Column, i: Column) -> Column:
-        then = F.get(chars, i + 1)
-        gap = ((then["x0"] - c["x1"]) > limit) & (c["ch"] != " ") & (then["ch"] != " ")
-        return F.concat(t.write_out(c["ch"]), F.when(gap, F.lit(" ")).otherwise(F.lit("")))
+    def joined(least: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            then = F.get(chars, i + 1)
+            gap = ((then["x0"] - c["x1"]) > least) & (c["ch"] != " ") & (then["ch"] != " ")
+            return F.when(gap, F.concat(c["ch"], F.lit(" "))).otherwise(c["ch"])
+
+        return t.write_out(F.array_join(F.transform(chars, one), ""))
 
-    return F.array_join(F.transform(chars, one), "")
+    return t.let(limit, joined)
 
 
 def fill_regions(grouped: DataFrame, regions: DataFrame) -> DataFrame:
@@ -177,7 +192,7 @@ def fill_regions(grouped: DataFrame, regions: DataFrame) -> DataFrame:
         return (F.abs(c["rotation"]) < 1e-3) & (flag | ((F.col("bbox.x0") < cx) & (cx < F.col("bbox.x1")))) & _belongs(b, F.col("line"), c["ch"])
 
     seen = F.filter(F.filter("c", mine), lambda c: ~c["ch"].isin("\r", "\n"))
-    texts = met.withColumn("v", seen).where(F.size("v") > 0).withColumn("text", t.trim(spaced(F.col("v")))).where("text <> ''")
+    texts = met.withColumn("v", seen).where(F.size("v") > 0).withColumn("text", t.trim(t.let(F.col("v"), spaced))).where("text <> ''")
     ordered = F.array_sort(F.collect_list(F.struct("cy", "line_idx", "text", F.size("v").alias("n"))))
     whole = texts.groupBy("doc_id", "page_idx", "idx").agg(F.first("bbox").alias("bbox"), ordered.alias("t"))
     joined = whole.select("doc_id", "page_idx", "idx", "bbox", t.trim(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text"), F.aggregate("t", F.lit(0), lambda s, x: s + x["n"]).alias("n_chars"))
