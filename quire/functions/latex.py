@@ -9,6 +9,7 @@ from functools import partial
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions.text import let
 
@@ -104,17 +105,17 @@ def balance_left_right(s: str) -> str:
     return move_rights(s) if lefts == rights else re.sub(r"\\(?:left|right)\.?", "", s)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def paired_braces(s: pd.Series) -> pd.Series:
     return s.map(drop_unpaired_braces, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def paired_sides(s: pd.Series) -> pd.Series:
     return s.map(balance_left_right, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _scanned(s: pd.Series) -> pd.Series:
     return s.map(lambda x: balance_left_right(drop_unpaired_braces(x)), na_action="ignore")
 

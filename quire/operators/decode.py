@@ -33,9 +33,9 @@ def ctc(steps: DataFrame, group: Sequence[str], blank: int = 0) -> DataFrame:
     top = F.array_max("logits")
     share = F.lit(1.0) / F.aggregate("logits", F.lit(0.0), lambda s, v: s + F.exp((v - top).cast("double")))
     w = Window.partitionBy(*group).orderBy("step")
-    seen = steps.select(*group, "step", best.alias("c"), share.alias("p")).withColumn("new", ~F.col("c").eqNullSafe(F.lag("c").over(w)))
-    one = F.when(F.col("new") & (F.col("c") != blank), F.struct("step", "c"))
-    return seen.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["c"]).alias("classes"), F.avg("p").cast("float").alias("confidence"))
+    seen = steps.select(*group, "step", best.alias("_c"), share.alias("_p")).withColumn("_new", ~F.col("_c").eqNullSafe(F.lag("_c").over(w)))
+    one = F.when(F.col("_new") & (F.col("_c") != blank), F.struct("step", "_c"))
+    return seen.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["_c"]).alias("classes"), F.avg("_p").cast("float").alias("confidence"))
 
 
 def spell(classes: DataFrame, group: Sequence[str], characters: Sequence[str]) -> DataFrame:
@@ -50,11 +50,11 @@ def top_classes(logits: DataFrame, group: Sequence[str], classes: int) -> DataFr
 
     ``logits``: group, logits as one flat array of query * classes values.
     """
-    flat = logits.select(*group, F.floor(F.size("logits") / classes).alias("k"), F.posexplode("logits").alias("pos", "v"))
-    scored = flat.withColumn("score", g.sigmoid(F.col("v")))
-    w = Window.partitionBy(*group).orderBy(F.col("score").desc(), "pos")
-    ranked = scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < F.col("k"))
-    return ranked.select(*group, "rank", F.floor(F.col("pos") / classes).cast("int").alias("query"), (F.col("pos") % classes).cast("int").alias("class"), "score")
+    flat = logits.select(*group, F.floor(F.size("logits") / classes).alias("_k"), F.posexplode("logits").alias("_pos", "_v"))
+    scored = flat.withColumn("score", g.sigmoid(F.col("_v")))
+    w = Window.partitionBy(*group).orderBy(F.col("score").desc(), "_pos")
+    ranked = scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < F.col("_k"))
+    return ranked.select(*group, "rank", F.floor(F.col("_pos") / classes).cast("int").alias("query"), (F.col("_pos") % classes).cast("int").alias("class"), "score")
 
 
 def order_ranks(logits: Column, n: int) -> Column:

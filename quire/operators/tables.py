@@ -9,13 +9,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import geometry as g
 from quire.operators.matching import argmax_join
 
 #: Heights apart that make a row, widths apart that make a column, how far a span's extent may miss, least overlap.
 ROW_GAP, COLUMN_GAP, FIT, LEAST_IOU = 10.0, 15.0, 10.0, 1e-8
-LOGIC = "array<struct<row_start:int,row_end:int,col_start:int,col_end:int>>"
+#: Rows and columns of a cell, ends included.
+LOGIC = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("row_start", "row_end", "col_start", "col_end")]))
 _F = np.float32
 
 
@@ -255,7 +257,7 @@ def plot_table(cells: Sequence[tuple[int, int, int, int]], texts: dict[int, str]
     return frame.format("".join(out))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def grid_html(logic: pd.Series, texts: pd.Series) -> pd.Series:
     """HTML from an array of logical positions and an array of the cells' texts (null for none)."""
     out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from quire.plans import engine
 from quire.plans import views as v
 from quire.schema import MERGEABLE_ROLES, SILENT_ROLES, VISUAL_KINDS, VLM_LABELS, VLM_TYPES, values_sql, vlm_types
 from quire.sources import documents as docs_io
+from quire.streaming.stream import parse_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -812,3 +814,21 @@ def page_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs_io.check_pages(docs_io.page_rows(counts), counts)
     sized = rows.withColumn("width", (400 + F.col("doc_id") % 300).cast("double")).withColumn("height", F.lit(792.0))
     return docs_io.with_pixels(sized).select("doc_id", "page_idx", "width_px", "height_px")
+
+
+@query("SELECT doc_id, length(text) AS n, 0 AS differences FROM documents")
+def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents parsed as a stream and as a batch: rows that only one of them has, by document."""
+    import uuid
+
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+    base = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    rows = v.table(spark, sf_dir, "documents")
+    rows.write.parquet(f"{base}/in")
+    parse = lambda df: df.select("doc_id", F.length("text").alias("n"), F.xxhash64(t.collapse_newlines(F.col("text"))).alias("h"))
+    parse_stream(spark, f"{base}/in", rows.schema, f"{base}/out", f"{base}/check", parse).awaitTermination()
+    one, two = (df.select("doc_id", "n", "h", F.lit(w).alias("w")) for df, w in ((parse(rows), 1), (spark.read.parquet(f"{base}/out"), -1)))
+    per_row = one.union(two).groupBy("doc_id", "n", "h").agg(F.sum("w").alias("d"))
+    return per_row.select("doc_id", "n", F.abs("d").cast("int").alias("differences"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
-def parse_stream(spark: SparkSession, in_dir: str, schema: str, out_dir: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], available_now: bool = True):
+def parse_stream(spark: SparkSession, in_dir: str, schema: StructType | str, out_dir: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], available_now: bool = True):
     """Starts a query that reads Parquet files of ``schema`` as they arrive and appends ``transform`` of each batch to ``out_dir``.
 
     Documents are independent, so the union of the batches' results is the batch result; the checkpoint makes a restart go on
