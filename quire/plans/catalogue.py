@@ -431,14 +431,26 @@ def native_or_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "page_idx", "idx", F.size("text_lines").alias("n_lines"), F.array_join(F.transform("text_lines", lambda x: x["text"]), " ").alias("text"))
 
 
-@query()
+_GLYPHS = f"""{v.LINES_SQL},
+chars AS (SELECT doc_id, page_idx, line_idx, y0, unnest(range(1, length(line) + 1)) - 1 AS i, unnest(string_split(line, '')) AS ch FROM v_lines WHERE line <> ''),
+glyph AS (SELECT *, 72 + 6 * i + 4 * ((i + doc_id % 9) // 9) AS x0, CASE WHEN (doc_id + i) % 97 < 90 THEN 'Regular' ELSE 'Bold' END AS font FROM chars)"""
+
+
+@query(f"""WITH RECURSIVE {_GLYPHS},
+marked AS (SELECT *, coalesce(font <> lag(font) OVER w, false) AS new FROM glyph WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY line_idx, i)),
+numbered AS (SELECT *, sum(CASE WHEN new THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_idx ORDER BY line_idx, i) AS span_idx FROM marked),
+span AS (SELECT doc_id, page_idx, span_idx, string_agg(ch, '' ORDER BY line_idx, i) AS text, first(font) AS font, min(x0) AS x0, min(y0) AS top, max(y0) + 12 AS bottom FROM numbered GROUP BY ALL),
+fold AS (SELECT doc_id, page_idx, span_idx, 0 AS line_idx, bottom AS reach FROM span WHERE span_idx = 0
+  UNION ALL SELECT f.doc_id, f.page_idx, s.span_idx, CASE WHEN s.top > f.reach THEN f.line_idx + 1 ELSE f.line_idx END, CASE WHEN s.top > f.reach THEN s.bottom ELSE greatest(f.reach, s.bottom) END
+  FROM fold f JOIN span s ON s.doc_id = f.doc_id AND s.page_idx = f.page_idx AND s.span_idx = f.span_idx + 1)
+SELECT doc_id, page_idx, line_idx, span_idx::INTEGER AS span_idx, text, font, x0::INTEGER AS x0, bottom::INTEGER AS y1 FROM span JOIN fold USING (doc_id, page_idx, span_idx)""")
 def glyph_spans_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the pages' glyphs after duplicates are taken out, with their lines."""
     found = native_text.spans(native_text.group_glyphs(v.glyphs(spark, sf_dir)))
     return found.select("doc_id", "page_idx", "line_idx", "span_idx", "text", "font", F.col("bbox.x0").cast("int").alias("x0"), F.col("bbox.y1").cast("int").alias("y1"))
 
 
-@query()
+@query(f"""WITH {_GLYPHS} SELECT doc_id, page_idx, sum(CASE WHEN i % 11 = 5 AND ch <> ' ' THEN 2 ELSE 1 END)::BIGINT AS n_glyphs, count(*) AS n_kept FROM glyph GROUP BY doc_id, page_idx""")
 def glyph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Glyphs per page before and after duplicates are taken out."""
     raw = v.glyphs(spark, sf_dir)
@@ -528,7 +540,14 @@ def structure_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
-@query()
+_SPANS = ", ".join(f"CASE WHEN (o_orderkey + {n}) % 5 = 0 THEN 2 ELSE 1 END AS w{n}, CASE WHEN (o_orderkey + {n}) % 5 <> 0 AND (o_orderkey + {n}) % 7 = 0 THEN 2 ELSE 1 END AS h{n}" for n in range(6))
+_FREE = "list_min(list_filter(range({0}, {0} + 8), lambda x: NOT list_contains(taken, x)))"
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS grp, {_SPANS} FROM orders),
+a AS (SELECT *, 0 AS c0, w0 AS c1, w0 + w1 AS c2, list_filter([CASE WHEN h0 = 2 THEN 0 END, CASE WHEN h1 = 2 THEN w0 END, CASE WHEN h2 = 2 THEN w0 + w1 END], lambda x: x IS NOT NULL) AS taken FROM s),
+b AS (SELECT *, {_FREE.format("0")} AS c3 FROM a), c AS (SELECT *, {_FREE.format("(c3 + w3)")} AS c4 FROM b), d AS (SELECT *, {_FREE.format("(c4 + w4)")} AS c5 FROM c)
+{" UNION ALL ".join(f"SELECT grp, {n} AS cell_idx, {n // 3} AS row_start, {n // 3} + h{n} - 1 AS row_end, c{n}::INTEGER AS col_start, (c{n} + w{n} - 1)::INTEGER AS col_end FROM d" for n in range(6))}""")
 def logic_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = v.tokens(spark, sf_dir).select("grp", F.posexplode(tables.logic_points("tokens")).alias("cell_idx", "p"))
     return each.select("grp", "cell_idx", "p.*")
@@ -631,7 +650,12 @@ def _images(spark: SparkSession, sf_dir: str, kind: str, value: Callable[[Column
     return ids.withColumn("width", F.lit(side)).withColumn("height", F.lit(side)).withColumn("data", data)
 
 
-@query()
+@query("""WITH b AS (SELECT vec_id AS image_id, 0 AS box_idx, 4 + vec_id % 5 AS x0, 6 AS y0, 23 AS x1, 13 AS y1, 0.9 AS score FROM embeddings
+  UNION ALL SELECT vec_id, 1, 8, 20, 29, 26 + vec_id % 3, 0.8 FROM embeddings WHERE vec_id % 3 <> 0),
+d AS (SELECT *, (x1 - x0) * (y1 - y0) * 1.5::DOUBLE / (2 * (x1 - x0 + y1 - y0)) AS d FROM b),
+c AS (SELECT image_id, box_idx, score, greatest(floor((x0 - d) * 2 + 0.5), 0)::INTEGER AS a, greatest(floor((y0 - d) * 2 + 0.5), 0)::INTEGER AS b, least(floor((x1 + d) * 2 + 0.5), 64)::INTEGER AS c,
+  least(floor((y1 + d) * 2 + 0.5), 64)::INTEGER AS d FROM d)
+SELECT image_id, box_idx, concat_ws(',', a, b, c, b, c, d, a, d) AS corners, score::DOUBLE AS score FROM c""")
 def db_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text boxes of maps with two blocks, one of them too faint in every third."""
 
@@ -645,7 +669,9 @@ def db_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("image_id", "box_idx", F.array_join(F.transform("corners", lambda c: c.cast("int").cast("string")), ",").alias("corners"), F.round("score", 4).alias("score"))
 
 
-@query()
+@query("""WITH g AS (SELECT vec_id AS image_id, 50 + vec_id % 20 AS r, 40 + vec_id % 30 AS c, n FROM embeddings, range(4) t(n)),
+b AS (SELECT image_id, n::INTEGER AS cell_idx, CASE WHEN n % 2 = 0 THEN 7 ELSE c + 3 END AS x0, CASE WHEN n % 2 = 0 THEN c - 1 ELSE 120 END AS x1, CASE WHEN n < 2 THEN 7 ELSE r + 3 END AS y0, CASE WHEN n < 2 THEN r - 1 ELSE 120 END AS y1 FROM g)
+SELECT image_id, cell_idx, concat_ws(',', x0, y0, x0, y1, x1, y1, x1, y0) AS corners FROM b""")
 def mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of masks with a ruled grid, whose inner rulings stand elsewhere in each image."""
 
@@ -745,22 +771,36 @@ def hybrid_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, "medium")
 
 
-@query()
+@query(rf"""WITH {v.VLM_SQL}{v.DETS_SQL[len(v.LINES_SQL) :]}, {values_sql("dim_vlm", "vlm_type, vkind, vrole, vlevel", VLM_TYPES)}, {values_sql("dim_own", "label, vlm_type, kind, role, level", VLM_LABELS)},
+nth AS (SELECT doc_id, page_idx, line, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY line_idx) - 1 AS idx FROM v_lines),
+f AS (SELECT b.doc_id, b.page_idx, b.idx, vkind, vrole, regexp_replace(n.line, '^\s+|\s+$', '', 'g') AS c, b.x0::DOUBLE AS x0, b.y0 / 2.0::DOUBLE AS y0, b.x1::DOUBLE AS x1, b.y1 / 2.0::DOUBLE AS y1
+  FROM v_blocks b JOIN dim_own USING (label) JOIN dim_vlm USING (vlm_type) JOIN nth n USING (doc_id, page_idx, idx) WHERE vlm_type <> 'unknown')
+SELECT doc_id, page_idx, vkind = 'discarded' AS discarded, (row_number() OVER (PARTITION BY doc_id, page_idx, vkind = 'discarded' ORDER BY idx) - 1)::INTEGER AS block_idx,
+  CASE WHEN vkind = 'discarded' THEN 'text' ELSE vkind END AS kind, vrole AS role,
+  CASE WHEN vrole = 'title' THEN CASE WHEN EXISTS (SELECT 1 FROM v_dets t WHERE t.doc_id = f.doc_id AND t.page_idx = f.page_idx AND t.label = 'doc_title' AND t.x1 > t.x0
+    AND greatest(least(f.x1, t.x1) - greatest(f.x0, t.x0), 0) * greatest(least(f.y1, t.y1) - greatest(f.y0, t.y0), 0) / least((f.x1 - f.x0) * (f.y1 - f.y0), (t.x1 - t.x0) * (t.y1 - t.y0)) >= 0.8) THEN 0 ELSE 1 END END::INTEGER AS level,
+  CASE WHEN vkind IN ('text', 'discarded') THEN c ELSE '' END AS text, CASE WHEN vkind = 'equation' THEN c END AS latex FROM f WHERE vkind IN ('text', 'discarded', 'equation', 'image', 'chart', 'table')""")
 def hybrid_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, "high")
 
 
-@query()
+def _expected(**changed: str) -> str:
+    """SQL over the formulas: results worked out by hand for those that change, keyed by place in the list; the others stay."""
+    rows = ", ".join(f"('{v.LATEX[int(k[1:])]}', '{x}')" for k, x in changed.items())
+    return f"WITH {v.LATEX_SQL}, e(raw, want) AS (VALUES {rows}) SELECT id, coalesce(want, raw) AS latex FROM v_latex LEFT JOIN e USING (raw)"
+
+
+@query(_expected(_1="abc", _14=r"\frac{a}b"))
 def latex_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.latex(spark, sf_dir).select("id", tex.paired_braces("raw").alias("latex"))
 
 
-@query()
+@query(_expected(_2="( x", _4=r"{\left( a \right)}  b"))
 def latex_left_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.latex(spark, sf_dir).select("id", tex.paired_sides("raw").alias("latex"))
 
 
-@query()
+@query(_expected(_5=r"\begin{array}{cc} a & b \end{array}", _6=r"\begin{matrix} a \end{matrix}"))
 def latex_envs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.latex(spark, sf_dir).select("id", tex.balanced_environments(F.col("raw")).alias("latex"))
 
@@ -772,7 +812,12 @@ def latex_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.latex(spark, sf_dir).select("id", tex.without_sides(F.col("raw")).alias("bare"), tex.command_count(F.col("raw"), "boldmath").cast("long").alias("bold"), tex.replaced(F.col("raw")).alias("replaced"))
 
 
-@query()
+@query(
+    _expected(
+        _0="x + y", _1="abc", _2="( x", _4=r"{\left( a \right)}  b", _5=r"\begin{array}{cc} a & b \end{array}", _6=r"\begin{matrix} a \end{matrix}", _7=r"\alpha + \uparrow \upsilon",
+        _8=r" x \qquad y \qquad z", _9=r"\hat{x} ☉ ©", _10=r"\ d x \alpha\ ,\%", _14=r"\frac{a}b",
+    )
+)
 def latex_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.latex(spark, sf_dir).select("id", tex.cleaned(F.col("raw")).alias("latex"))
 
