@@ -169,6 +169,14 @@ def page_to_top_left(left: Column, bottom: Column, right: Column, top: Column, p
     return box(left, h - top, right, h - bottom)
 
 
+def structure_box(b: Column, w: Column, h: Column, side: int = 488) -> Column:
+    """A box of a structure model's padded frame in the frame's longer side's scale."""
+    w, h = f32(w), f32(h)
+    ratio = F.least(f32(f32(side) / h), f32(f32(side) / w))
+    kx, ky = f32(f32(side) / (w * ratio)), f32(f32(side) / (h * ratio))
+    return box(b["x0"] * kx, b["y0"] * ky, b["x1"] * kx, b["y1"] * ky)
+
+
 def corner_distance(a: Column, b: Column) -> Column:
     """Sum of the four corners' moves plus the smaller of the upper-left and lower-right ones, in doubles."""
     d = lambda k: F.abs(b[k].cast("double") - a[k].cast("double"))

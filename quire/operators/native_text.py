@@ -24,6 +24,19 @@ START_SIGNS = "(（\"“【{《<「『["
 GLYPHS = "doc_id long, page_idx int, char_idx int, ch string, x0 float, y0 float, x1 float, y1 float, rotation float, font string, size int, weight int"
 
 
+def scan_glyphs(raw: DataFrame) -> DataFrame:
+    """Glyphs from a native reader's characters: doc_id, page_idx, char_idx, ch, loose and tight (left, bottom, right, top in points from below), page_height,
+    angle, font, font_size, weight. Characters without a sign or any box are skipped; the loose box goes first."""
+    b = F.coalesce("loose", "tight")
+    top = g.page_to_top_left(b["left"], b["bottom"], b["right"], b["top"], F.col("page_height"))
+    size = F.round(F.col("font_size").cast("double") * 1000).cast("int")
+    boxed = raw.where(F.col("ch").isNotNull() & b.isNotNull()).withColumn("_b", top)
+    return boxed.select(
+        "doc_id", "page_idx", "char_idx", "ch", *[F.col(f"_b.{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], F.coalesce(F.col("angle").cast("float"), g.f32(0)).alias("rotation"), "font",
+        size.alias("size"), F.coalesce("weight", F.lit(0)).alias("weight"),
+    )
+
+
 def kept_glyphs(ch: list[str], box: list[tuple], sign: list[tuple]) -> list[bool]:
     """Which glyphs of a page stay. White space does. Others go if they are the last kept glyph shifted a little (a shadow), or nearly
     cover an earlier kept glyph of the same signature. Kept glyphs are found by signature and square of the tolerance's size."""
