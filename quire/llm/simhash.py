@@ -184,19 +184,22 @@ def _band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(bytes([k]) + least[ROWS * k : ROWS * k + ROWS].tobytes(), SEED)) for k in range(BANDS)]
 
 
-def _signatures(texts: DataFrame, words: int) -> DataFrame:
+def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, node, fp, keys) of every row: the XXH64 of its text, the fingerprint, and the band keys of its shingle set (none without a word)."""
     a, b = _multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, keys = [], []
+            node, fp, keys = [], [], []
             for text in as_bytes(batch.column(1)):
                 h = shingle_hashes(text, words)
+                node.append(_signed(xxhash.xxh64_intdigest(text, SEED)))
                 fp.append(_signed(fingerprint(h)))
                 keys.append(_band_keys(np.unique(h), a, b) if len(h) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["node", "fp", "keys"])
+            arrays = [batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fp", "keys"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, fp long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
 
 
 def _nearest(signed: DataFrame, radius: int) -> DataFrame:
@@ -236,20 +239,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root, least, keeps): one row per distinct text that another text's group takes in.
+    """(node, root, least, n): one row per distinct text, with its group's smallest node, its smallest id and its number of rows.
 
-    Texts with equal bytes are one node (its 64-bit XXH64). Cells come from min-hash bands over the shingle sets; inside
+    Texts with equal bytes are one node (its 64-bit XXH64). Signatures are made where the documents are read, so that only they
+    are shuffled; copies are combined before that. Cells come from min-hash bands over the shingle sets; inside
     a cell the bit-sliced comparison of SimHash fingerprints finds each text's nearest neighbour within the search
-    radius, and only pairs whose exact Jaccard similarity is at least ``similarity`` link.
+    radius, and only pairs whose exact Jaccard similarity is at least ``similarity`` link. For that the texts of nodes in pairs
+    are joined once, by the smallest id that has them.
     """
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # The text of the least doc_id stands for its copies, so that nothing but ids is grouped.
-    nodes = cut(hashed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.count("doc_id").alias("ids"), F.countDistinct("doc_id").alias("own")))
-    texts = hashed.join(nodes.select(F.col("node").alias("_node"), "least"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("node", "text")
-    signed = cut(_signatures(texts, words))
-    pairs = cut(_nearest(signed, search_radius(similarity)))
+    signed = _signatures(docs, words, id_col, text_col)
+    nodes = cut(
+        signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    )
+    pairs = cut(_nearest(nodes.select("node", "fp", "keys"), search_radius(similarity)))
+    ends = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
+    wanted = ends.join(nodes.select(F.col("node").alias("_node"), "least"), "_node")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    on = (hashed["node"] == wanted["_node"]) & hashed["doc_id"].eqNullSafe(wanted["least"])
+    texts = hashed.join(wanted, on, "left_semi").select("node", "text")
     roots = components(_verified(pairs, texts, words, similarity))
-    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,5 +273,6 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     stays = first.select(F.col("best.least").alias("_keep_id"), F.col("best.node").alias("_keep_node"))
     on = (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == stays["_keep_node"]) & docs[id_col].cast("long").eqNullSafe(stays["_keep_id"])
     kept = docs.join(stays, on, "left_semi")
-    repeats = groups.agg(F.max(F.col("n") - F.col("own")).alias("r")).first()["r"]
+    row = [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_node")]
+    repeats = docs.select(*row).groupBy("_id", "_node").agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count()
     return kept.dropDuplicates([id_col, text_col]) if repeats else kept
