@@ -16,7 +16,7 @@ import numpy as np
 _BELOW = np.array([(1 << k) - 1 for k in range(65)], dtype=np.uint64)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: (query, block) pairs handled at once.
-PAIRS = 1 << 15
+PAIRS = 1 << 13
 #: Planes between two looks at which blocks are still alive.
 LOOK = 12
 
