@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bitslice import close_pairs, unite
-from quire.llm.common import as_bytes, cut
+from quire.llm.common import as_bytes, cut, release
 from quire.llm.components import components
 
 SEED = 42
@@ -88,12 +88,12 @@ def _dealt(keyed: DataFrame) -> DataFrame:
         .withColumn("_own", one)
         .withColumn("_meet", F.explode(F.when(F.col("_blocks") == 1, F.array(F.lit(-1).cast("long"))).otherwise(others)))
         .withColumn("cell", F.when(F.col("_meet") < 0, F.col("cell")).otherwise(F.xxhash64("cell", F.least("_own", "_meet"), F.greatest("_own", "_meet"))))
-        .select("cell", "node", "fp")
+        .select(*keyed.columns)
     )
 
 
-def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Whole cells (cell, node, fp) of rows sorted by cell, many at a time."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Whole cells (cell, node, fp and further long columns) of rows sorted by cell, many at a time."""
     held: list[np.ndarray] = []
     rows = 0
 
@@ -102,7 +102,7 @@ def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
     for batch in batches:
         if batch.num_rows:
-            held.append(np.stack([np.asarray(batch.column(i)) for i in range(3)]))
+            held.append(np.stack([np.asarray(c) for c in batch.columns]))
             rows += batch.num_rows
         if rows >= GATHER:
             all_ = ready()
@@ -164,6 +164,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
 BANDS, ROWS = 12, 4
 
 
+#: Rounds of neighbours end when fewer than one in so many of the pairs tried links.
+YIELD = 200
+
+
 def search_radius(similarity: float) -> int:
     """Bits within which the fingerprints of sets of that Jaccard similarity lie but for three standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -202,21 +206,28 @@ def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> Data
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
 
 
-def _nearest(signed: DataFrame, radius: int) -> DataFrame:
-    """(u, v): for every text and each cell it stands in, the text closest in fingerprint within ``radius``; each pair once."""
-    keyed = signed.select(F.explode("keys").alias("cell"), "node", "fp")
+def _neighbours(keyed: DataFrame, radius: int, most: int) -> DataFrame:
+    """(u, v): pairs of rows (cell, node, fp, label) of one cell with different labels within ``radius`` bits: for every row the ``most`` nearest."""
+
+    def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((b, far, a))
+        a, b, far = a[order], b[order], far[order]
+        start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
+        stays = np.arange(len(a)) - np.repeat(start, np.diff(np.append(start, len(a)))) < most
+        return a[stays], b[stays], far[stays]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, fp in _by_cell(batches):
+        for cell, node, fp, label in _by_cell(batches):
             value = fp.view(np.uint64)
-            best = np.full(len(fp), 1 << 40, dtype=np.int64)  # distance and the row itself, in one number
+            best = (np.zeros(0, dtype=np.int64),) * 3
             for a, b in close_pairs(cell, value, radius):
-                far = np.bitwise_count(value[a] ^ value[b]).astype(np.int64) << 32
-                np.minimum.at(best, a, far | b)
-                np.minimum.at(best, b, far | a)
-            has = np.flatnonzero(best < 1 << 40)
-            to = best[has] & 0xFFFFFFFF
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[has], node[to])), pa.array(np.minimum(node[has], node[to]))], ["u", "v"])
+                other = label[a] != label[b]
+                a, b = a[other], b[other]
+                if len(a):
+                    far = np.bitwise_count(value[a] ^ value[b]).astype(np.int64)
+                    best = nearest(*(np.concatenate([x, y]) for x, y in zip(best, (np.append(a, b), np.append(b, a), np.append(far, far)), strict=True)))
+            a, b, _ = best
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
 
     return _in_cells(keyed, run, "u long, v long").distinct()
 
@@ -243,23 +254,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
 
     Texts with equal bytes are one node (its 64-bit XXH64). Signatures are made where the documents are read, so that only they
     are shuffled; copies are combined before that. Cells come from min-hash bands over the shingle sets; inside
-    a cell the bit-sliced comparison of SimHash fingerprints finds each text's nearest neighbour within the search
-    radius, and only pairs whose exact Jaccard similarity is at least ``similarity`` link. For that the texts of nodes in pairs
-    are joined once, by the smallest id that has them.
+    a cell the bit-sliced comparison of SimHash fingerprints finds neighbours within the search radius, and only pairs
+    whose exact Jaccard similarity is at least ``similarity`` link. First each text's nearest neighbour is tried; then, in rounds,
+    the nearest 2, 4, 8, ... of other groups that weren't tried before, until none is left or fewer than one in ``YIELD`` pairs of
+    a round links. So what is tried grows with the rows and not with the square of a group. Texts of nodes with a neighbour are read once.
     """
     signed = _signatures(docs, words, id_col, text_col)
     nodes = cut(
         signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     )
-    pairs = cut(_nearest(nodes.select("node", "fp", "keys"), search_radius(similarity)))
-    ends = pairs.select(F.col("u").alias("_node")).union(pairs.select(F.col("v").alias("_node"))).distinct()
-    wanted = ends.join(nodes.select(F.col("node").alias("_node"), "least"), "_node")
+    radius = search_radius(similarity)
+    keyed = nodes.select(F.explode("keys").alias("cell"), "node", "fp")
+    tried = cut(_neighbours(keyed.withColumn("label", F.col("node")), radius, 1))
+    ends = cut(tried.select(F.col("u").alias("node")).union(tried.select(F.col("v").alias("node"))).distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    wanted = ends.join(nodes.select("node", "least"), "node").withColumnRenamed("node", "_node")
     on = (hashed["node"] == wanted["_node"]) & hashed["doc_id"].eqNullSafe(wanted["least"])
-    texts = hashed.join(wanted, on, "left_semi").select("node", "text")
-    roots = components(_verified(pairs, texts, words, similarity))
-    return nodes.select("node", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = cut(hashed.join(wanted, on, "left_semi").select("node", "text"))
+    near = cut(keyed.join(ends, "node", "left_semi").select("cell", "node", "fp"))
+    linked = components(_verified(tried, texts, words, similarity))
+    group = cut(ends.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+    most, going = 1, True
+    while going:
+        release(docs.sparkSession)
+        most *= 2
+        labelled = near.join(group, "node").select("cell", "node", "fp", F.col("root").alias("label"))
+        fresh = cut(_neighbours(labelled, radius, most).join(tried, ["u", "v"], "left_anti"))
+        new = cut(_verified(fresh, texts, words, similarity))
+        n, found = fresh.count(), new.count()
+        going = found > 0 and found * YIELD >= n
+        if found:
+            end = lambda k: group.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
+            between = new.join(end("u"), "u").join(end("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
+            merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
+            group = cut(group.join(merged, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+        if going:
+            tried = cut(tried.union(fresh))
+    return nodes.select("node", "least", "n").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
