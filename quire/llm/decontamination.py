@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,26 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end, int(equal[start:end].sum())
 
 
+def accepted_stretch(equal: np.ndarray, need: int, identity: float) -> tuple[int, int, int] | None:
+    """(start, end, matches) of a stretch of at least ``need`` words with at least ``identity`` of them equal; None if no stretch has them.
+
+    It is the best stretch if that qualifies, else the one with the most equal words beyond ``identity``, the first of ties.
+    """
+    if len(equal) < need:
+        return None
+    start, end, same = best_stretch(equal)
+    if end - start >= need and same >= identity * (end - start):
+        return start, end, same
+    share = Fraction(identity).limit_denominator(10_000)
+    over = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    gain = over[need:] - np.minimum.accumulate(over[: len(over) - need])
+    end = int(np.argmax(gain)) + need
+    if gain[end - need] < 0:
+        return None
+    start = int(np.argmin(over[: end - need + 1]))
+    return start, end, int(equal[start:end].sum())
+
+
 class Index:
     """The seeds of a block of test items, sorted by hash, with a bit filter before them."""
 
@@ -100,7 +121,7 @@ class Index:
         return (h >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)
 
     def search(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item number, first word in the text, first word in the item, words, equal words), the best stretch of each item and diagonal that the rule accepts."""
+        """(item number, first word in the text, first word in the item, words, equal words), a stretch of each item and diagonal that has one the rule accepts."""
         ids = np.array([self.vocab.get(w, -1) for w in words_of(text)], dtype=np.int64)
         if len(ids) < self.rule.least:
             return []
@@ -116,10 +137,11 @@ class Index:
         for k, diagonal in sorted(pairs):
             item = self.items[k]
             a, b = max(0, -diagonal), min(len(item), len(ids) - diagonal)
-            start, end, same = best_stretch(item[a:b] == ids[a + diagonal : b + diagonal])
-            n = end - start
-            if n >= max(self.rule.least, min(self.rule.words, len(item))) and same >= self.rule.identity * n:
-                found.append((k, a + start + diagonal, a + start, n, same))
+            need = max(self.rule.least, min(self.rule.words, len(item)))
+            stretch = accepted_stretch(item[a:b] == ids[a + diagonal : b + diagonal], need, self.rule.identity)
+            if stretch:
+                start, end, same = stretch
+                found.append((k, a + start + diagonal, a + start, end - start, same))
         return found
 
 

@@ -81,3 +81,22 @@ def test_odd_rows(odd, empty, spark, sf_dir):
     assert d.decontaminate(odd, tests.limit(0)).columns == odd.columns
     same = odd.select("doc_id", "text").where("doc_id = 9").withColumnRenamed("doc_id", "item_id")
     assert {r["doc_id"] for r in d.overlaps(odd.where("doc_id in (4, 5)"), same).collect()} == set()
+
+
+def test_every_stretch_of_the_rule_is_accepted():
+    """The rule itself, over all stretches of a diagonal, and a 15-word item with one word replaced anywhere."""
+    r = random.Random(11)
+    for _ in range(1500):
+        n = r.randrange(1, 34)
+        equal = d.np.array([r.random() < 0.8 for _ in range(n)])
+        need = max(6, min(13, r.randrange(1, 26)))
+        want = any(equal[a:b].sum() * 5 >= 4 * (b - a) for b in range(need, n + 1) for a in range(b - need + 1))
+        got = d.accepted_stretch(equal, need, 0.8)
+        assert (got is not None) == want
+        if got:
+            a, b, same = got
+            assert 0 <= a and a + need <= b <= n and same == equal[a:b].sum() and same * 5 >= 4 * (b - a)
+    item = [f"w{k}" for k in range(15)]
+    index = d.Index([(1, " ".join(item))], d.Rule())
+    for k in range(15):
+        assert index.search(" ".join(["x", "y", *item[:k], "zzz", *item[k + 1 :], "z"]))
