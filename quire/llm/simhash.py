@@ -189,17 +189,18 @@ def _band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, keys) of every row: the XXH64 of its text, the fingerprint, and the band keys of its shingle set (none without a word)."""
+    """(doc_id, node, fp, keys) of every row: the XXH64 of its text, and the fingerprint and band keys of its shingle set (no keys without a word)."""
     a, b = _multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, fp, keys = [], [], []
             for text in as_bytes(batch.column(1)):
-                h = shingle_hashes(text, words)
+                # Similarity is that of sets, so a shingle counts once in the fingerprint too.
+                h = np.unique(shingle_hashes(text, words))
                 node.append(_signed(xxhash.xxh64_intdigest(text, SEED)))
                 fp.append(_signed(fingerprint(h)))
-                keys.append(_band_keys(np.unique(h), a, b) if len(h) else [])
+                keys.append(_band_keys(h, a, b) if len(h) else [])
             arrays = [batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fp", "keys"])
 

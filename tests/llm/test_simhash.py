@@ -134,3 +134,13 @@ def test_near_copies_go(spark):
             rows.append((g * 100 + c, " ".join(t)))
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(k["doc_id"] for k in kept) == [0, 100, 200, 300, 400]
+
+
+def test_near_copies_with_repeated_lines_go(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for g in range(20):
+        text = [f"w{k}" for k in r.integers(0, 50_000, 300)]
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text + text[-8:] * 100))]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(k["doc_id"] for k in kept) == [2 * g for g in range(20)]
