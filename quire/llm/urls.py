@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,9 +15,8 @@ from quire.llm.common import as_bytes, fold
 
 #: Fixed values: (verdict, host and path prefix).
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Longest context, in bytes, and the slots that contexts of one length are hashed into: a model has at most
-#: 2 * (ORDER + 1) * SLOTS * 256 counts, whatever the number of URLs.
-ORDER, SLOTS = 4, 1 << 12
+#: Longest context, in bytes. A context of k bytes is the number 2**32 * k + its bytes, and a cell is 256 times that plus the byte that follows.
+ORDER = 4
 #: A context counts from this many occurrences on; with fewer the shorter one speaks alone.
 SEEN = 2
 #: Share of accepted calibration URLs that the model may block.
@@ -50,7 +50,7 @@ def rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def _positions(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every byte of every URL: the URL's number, the byte, and the slot of its context of each length."""
+    """For every byte of every URL: the URL's number, the byte, and its context of each length."""
     padded = np.frombuffer(b"".join(bytes([_START] * ORDER) + u for u in urls), dtype=np.uint8).astype(np.uint64)
     sizes = np.array([len(u) for u in urls], dtype=np.int64)
     ends = np.cumsum(sizes + ORDER)
@@ -59,33 +59,42 @@ def _positions(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarr
     code = np.zeros(len(at), dtype=np.uint64)
     for k in range(1, ORDER + 1):
         code = code * np.uint64(256) + padded[at - k]
-        mixed = (code + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        slots.append((mixed >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64) if k > 1 else code.astype(np.int64))
+        slots.append(code.astype(np.int64) + (k << 32))
     return np.repeat(np.arange(len(urls)), sizes), padded[at].astype(np.int64), slots
 
 
 @dataclass
 class Model:
-    """Counts (ORDER + 1, SLOTS, 256) of a class as its cells that aren't zero."""
+    """Counts of a class: its cells that aren't zero, sorted. One entry per distinct context and byte."""
 
     cells: np.ndarray
     counts: np.ndarray
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        dense = np.zeros((ORDER + 1) * SLOTS * 256, dtype=np.float32)
-        dense[self.cells] = self.counts
-        dense = dense.reshape(ORDER + 1, SLOTS, 256)
-        return dense, dense.sum(axis=2), (dense > 0).sum(axis=2)
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Cells and their counts; contexts, the occurrences of each and the kinds of bytes that follow it."""
+        contexts, start = np.unique(self.cells >> 8, return_index=True)
+        total = np.add.reduceat(self.counts, start) if len(start) else self.counts
+        return self.cells, self.counts, contexts, total, np.diff(np.append(start, len(self.cells)))
 
 
-def log_likelihood(tables: tuple[np.ndarray, np.ndarray, np.ndarray], symbol: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+def _found(keys: np.ndarray, values: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
+    """The values of each wanted key, 0 for keys that aren't there. ``keys`` is sorted."""
+    if not len(keys):
+        return [np.zeros(len(wanted)) for _ in values]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return [np.where(there, v[at], 0).astype(np.float64) for v in values]
+
+
+def log_likelihood(tables: tuple[np.ndarray, ...], symbol: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
     """Natural log of each byte's probability: Witten-Bell mixing of ever longer contexts, from 1/256 up.
     A context passes on the share kinds / (count + kinds) to the next shorter one; one seen less than SEEN times passes all."""
-    dense, total, kinds = tables
+    cells, counts, contexts, total, kinds = tables
     p = np.full(len(symbol), 1 / 256)
-    for k, slot in enumerate(slots):
-        n, t = total[k, slot].astype(np.float64), kinds[k, slot].astype(np.float64)
-        p = np.where(n >= SEEN, (dense[k, slot, symbol] + t * p) / np.maximum(n + t, 1), p)
+    for slot in slots:
+        n, t = _found(contexts, (total, kinds), slot)
+        (c,) = _found(cells, (counts,), slot << 8 | symbol)
+        p = np.where(n >= SEEN, (c + t * p) / np.maximum(n + t, 1), p)
     return np.log(p)
 
 
@@ -99,10 +108,9 @@ def _ratio(urls: list[bytes], accepted: tuple, rejected: tuple) -> np.ndarray:
 
 
 def _count(training: DataFrame) -> dict[str, Model]:
-    """One model for each class in (url, verdict), over all rows. Tasks count before the shuffle; a class's cells are bounded."""
+    """One model for each class in (url, verdict), over all rows. Tasks count before the shuffle; a model grows with the distinct contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
             urls, verdicts = as_bytes(batch.column(0)), np.array(batch.column(1).to_pylist())
             if not urls:
@@ -110,19 +118,16 @@ def _count(training: DataFrame) -> dict[str, Model]:
             owner, symbol, slots = _positions(urls)
             for v in np.unique(verdicts):
                 mine = (verdicts == v)[owner]
-                for k, slot in enumerate(slots):
-                    cell = (k * SLOTS + slot[mine]) * 256 + symbol[mine]
-                    sums.setdefault(v, np.zeros((ORDER + 1) * SLOTS * 256, dtype=np.int32))
-                    sums[v] += np.bincount(cell, minlength=len(sums[v])).astype(np.int32)
-        for v, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([str(v)] * len(at)), pa.array(at), pa.array(counts[at].astype(np.int64))], ["verdict", "cell", "n"])
-
-    rows = training.mapInArrow(run, "verdict string, cell long, n long").groupBy("verdict", "cell").agg(F.sum("n").alias("n")).toPandas()
+                cells, n = np.unique(np.concatenate([slot[mine] << 8 | symbol[mine] for slot in slots]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([str(v)] * len(cells)), pa.array(cells), pa.array(n.astype(np.int64))], ["verdict", "cell", "n"])
+
+    rows = training.mapInArrow(run, "verdict string, cell long, n long").groupBy("verdict", "cell").agg(F.sum("n").alias("n")).toArrow()
     out = {}
     for v in ("allow", "block"):
-        mine = rows[rows["verdict"] == v]
-        out[v] = Model(mine["cell"].to_numpy(np.int64), mine["n"].to_numpy(np.float32))
+        mine = rows.filter(pc.equal(rows.column("verdict"), v))
+        cells, counts = (mine.column(c).to_numpy() for c in ("cell", "n"))
+        order = np.argsort(cells)
+        out[v] = Model(cells[order], counts[order])
     return out
 
 

@@ -137,3 +137,18 @@ def test_real_pages(spark):
     rows = U.judge(pages).collect()
     assert len(rows) == pages.count()
     assert {x["verdict"] for x in rows} == {"allow", "block"}
+
+
+def test_contexts_do_not_share_counts(spark):
+    r = np.random.default_rng(6)
+    train = [bytes(r.integers(33, 127, 30).astype(np.uint8)) for _ in range(400)]
+    df = spark.createDataFrame([(u.decode(), "allow") for u in train], "url string, said string").repartition(3)
+    cells, counts, contexts, total, kinds = U._count(df)["allow"].tables()
+    n = brute_model(train)
+    assert len(contexts) == len({c for c, _ in n}) > 20_000 and len(cells) == len(n)
+    total_of = Counter()
+    for (c, _), v in n.items():
+        total_of[c] += v
+    code = lambda c: (len(c) << 32) + int.from_bytes(c[::-1], "big")
+    assert dict(zip(contexts.tolist(), total.tolist(), strict=True)) == {code(c): v for c, v in total_of.items()}
+    assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == {code(c) << 8 | b: v for (c, b), v in n.items()}
