@@ -1,4 +1,4 @@
-"""License scans with DataFrame functions only: phrase places, and an exact set-similarity join of lines with templates."""
+"""License scans with DataFrame functions only: phrase places, and an exact set-similarity join of text blocks with templates."""
 
 from __future__ import annotations
 
@@ -27,7 +27,7 @@ TEMPLATES = (
     ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
 )
-#: Share of a template's distinct tokens that a line must hold.
+#: Share of a template's distinct tokens that a block must hold.
 CONTAINMENT = 0.9
 #: Most distinct tokens that all templates may have: what frequencies are brought to the driver for.
 VOCABULARY = 10_000
@@ -49,10 +49,27 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line: the document's key and the distinct lower-cased words of the line."""
-    line = docs.select("_id", "_hash", "_size", F.explode(F.split("_text", "\n")).alias("_line"))
-    return line.select("_id", "_hash", "_size", F.array_distinct(F.split(F.lower("_line"), GAP)).alias("_words"))
+def _whole(docs: DataFrame) -> DataFrame:
+    """One row per document: its key, its text and the distinct lower-cased words of the text."""
+    return docs.select("_id", "_hash", "_size", "_text", F.array_distinct(F.split(F.lower("_text"), GAP)).alias("_words"))
+
+
+def _blocks(docs: DataFrame, longest: int, may_hold) -> DataFrame:
+    """One row per text block that ``may_hold`` (a condition on an array of words) lets through: the document's key and the block's
+    distinct lower-cased words. A block is a line, or ``longest`` consecutive words of a text with several lines, over line ends.
+
+    Such stretches are cut from overlapping spans of twice the length, so that few are made where no span holds a template.
+    """
+    words = F.split(F.lower("_text"), GAP)
+    span = lambda i: F.struct(F.lit(True).alias("cuts"), F.slice(words, i, 2 * longest).alias("w"))
+    spans = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), span)
+    line = lambda x: F.struct(F.lit(False).alias("cuts"), F.split(F.lower(x), GAP).alias("w"))
+    lines = F.transform(F.split("_text", "\n"), line)
+    parts = docs.select("_id", "_hash", "_size", F.explode(F.when(F.instr("_text", "\n") > 0, F.concat(lines, spans)).otherwise(lines)).alias("_part"))
+    parts = parts.select("_id", "_hash", "_size", "_part.cuts", F.col("_part.w").alias("w")).where(may_hold(F.col("w")))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - longest + 1))
+    stretches = F.when(F.col("cuts"), F.transform(starts, lambda i: F.slice("w", i, longest))).otherwise(F.array("w"))
+    return parts.select("_id", "_hash", "_size", F.explode(stretches).alias("w")).select("_id", "_hash", "_size", F.array_distinct("w").alias("_words"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -61,27 +78,29 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.length(text).alias("_size"), text.alias("_text"))
 
 
-def token_order(lines: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by the number of lines that hold a token, rarest first (ties by the token). One row per token reaches the driver."""
+def token_order(texts: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary by the number of texts that hold a token, rarest first (ties by the token). One row per token reaches the driver."""
     if len(vocabulary) > VOCABULARY:
         raise ValueError(f"the templates have over {VOCABULARY} tokens")
-    held = lines.select(F.explode(F.array_intersect("_words", F.array(*map(F.lit, vocabulary)))).alias("t"))
+    held = texts.select(F.explode(F.array_intersect("_words", F.array(*map(F.lit, vocabulary)))).alias("t"))
     count = {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
 
 
 def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(_id, _hash, _size, label, score): every document and template label with a line that holds at least
+    """(_id, _hash, _size, label, score): every document and template label with a block that holds at least
     ``containment`` of a template's tokens, and the largest share held.
 
-    Tokens stand in the corpus's order, rarest first. To share o of a template's n tokens, a line must hold one of its
+    Blocks are lines and stretches over line ends as long as the longest template and 1 / ``containment`` of it. Only documents that hold
+    enough tokens of a template in their whole text are cut into blocks.
+    Tokens stand in the corpus's order, rarest first. To share o of a template's n tokens, a block must hold one of its
     first n - o + 1 (prefix filter), have at least o tokens of the vocabulary (length filter), and from the first shared token
     on have o - 1 more on both sides (positional filter). What is left is counted exactly.
     """
     sets = [(label, tokens(t)) for label, t in templates]
     vocabulary = sorted({t for _, s in sets for t in s})
-    lines = _lines(keyed)
-    order = token_order(lines, vocabulary)
+    whole = _whole(keyed)
+    order = token_order(whole, vocabulary)
     rank = {t: k for k, t in enumerate(order)}
     prefixes = []
     for label, s in sets:
@@ -91,8 +110,17 @@ def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES,
     first = sorted({p[0] for p in prefixes})
     # As many rows as the templates have prefix tokens: a bounded literal table.
     table = spark.createDataFrame(prefixes, "t string, i int, need int, n int, label string, tokens array<string>")
-    candidates = lines.where(F.arrays_overlap("_words", F.array(*map(F.lit, first))))
-    # array_intersect keeps the order of its first argument: the line's tokens, rarest first.
+    longest = math.ceil(max((len(re.findall(f"{WORD}+", t)) for _, t in templates), default=1) / containment)
+    needs = [(math.ceil(containment * len(s) - 1e-9), s) for _, s in sets]
+
+    def may_hold(words: Column) -> Column:
+        enough = F.lit(False)
+        for need, s in needs:
+            enough |= F.size(F.array_intersect(F.array(*map(F.lit, s)), words)) >= need
+        return F.arrays_overlap(words, F.array(*map(F.lit, first))) & enough
+
+    candidates = _blocks(whole.where(may_hold(F.col("_words"))), longest, may_hold)
+    # array_intersect keeps the order of its first argument: the block's tokens, rarest first.
     known = candidates.withColumn("_own", F.array_intersect(F.array(*map(F.lit, order)), "_words"))
     probes = known.select("_id", "_hash", "_size", "_own", F.posexplode("_own").alias("j", "t"))
     met = probes.join(F.broadcast(table), "t").where(
@@ -105,7 +133,7 @@ def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES,
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest share of a template held by a line that reaches the threshold, 1 where a base phrase stands, else 0.
+    ``score`` is the largest share of a template held by a block that reaches the threshold, 1 where a base phrase stands, else 0.
     A null or empty text has no words, no labels and score 0. Null ids and repeated rows are carried as they are. An empty table gives an empty result. Other columns are ignored.
     """
     keyed = _keyed(docs, id_col, text_col)

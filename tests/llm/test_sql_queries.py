@@ -1,5 +1,7 @@
 """Operators that SQL can express, against DuckDB, and against small fixtures."""
 
+import textwrap
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +76,15 @@ def test_ablations(spark):
     entries = spark.createDataFrame([(m,) for m in (0, 0, 1, 2, 3, 4, 4, 128)], "failed int")
     got = {r["rule"]: (r["n_failed"], r["n_only"], r["n_kept"]) for r in rules.ablations(entries, "v1").collect()}
     assert got == {"few_words": (2, 1, 4), "repeats": (2, 1, 4), "symbols": (2, 2, 5)} | {"duplicate_lines": (0, 0, 3)}
+
+
+def test_wrapped_notices(spark):
+    """Every template, wrapped at 40 columns with comment signs inside prose; and its tokens too far apart."""
+    rows = []
+    for k, (_, text) in enumerate(licenses.TEMPLATES):
+        wrapped = "\n".join(f" * {x}" for x in textwrap.wrap("Copyright Foo. " + text + ". Bar baz", 40))
+        rows += [(k, "some prose here\n" * 40 + wrapped + "\nqux" * 50), (100 + k, "\n".join(w + " z" * 40 for w in text.split()))]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[k]["labels"].split(",") and got[k]["score"] == 1.0
+        assert got[100 + k]["labels"] == "" and got[100 + k]["score"] == 0.0
