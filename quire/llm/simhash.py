@@ -164,7 +164,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
 BANDS, ROWS = 12, 4
 
 
-#: Rounds of neighbours end when fewer than one in so many of the pairs tried links.
+#: When fewer than one in so many of the pairs that a round tried links, the next round tries all that are left.
 YIELD = 200
 
 
@@ -189,26 +189,28 @@ def _band_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, node, fp, keys) of every row: the XXH64 of its text, and the fingerprint and band keys of its shingle set (no keys without a word)."""
+    """(doc_id, node, fp, size, keys) of every row: the XXH64 of its text, and the fingerprint, size and band keys of its shingle set (no keys without a word)."""
     a, b = _multipliers()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, fp, keys = [], [], []
+            node, fp, size, keys = [], [], [], []
             for text in as_bytes(batch.column(1)):
                 # Similarity is that of sets, so a shingle counts once in the fingerprint too.
                 h = np.unique(shingle_hashes(text, words))
                 node.append(_signed(xxhash.xxh64_intdigest(text, SEED)))
                 fp.append(_signed(fingerprint(h)))
+                size.append(len(h))
                 keys.append(_band_keys(h, a, b) if len(h) else [])
-            arrays = [batch.column(0), pa.array(node, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fp", "keys"])
+            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in (node, fp, size)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "fp", "size", "keys"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, fp long, size long, keys array<long>")
 
 
-def _neighbours(keyed: DataFrame, radius: int, most: int) -> DataFrame:
-    """(u, v): pairs of rows (cell, node, fp, label) of one cell with different labels within ``radius`` bits: for every row the ``most`` nearest."""
+def _neighbours(keyed: DataFrame, radius: int, similarity: float, most: int | None) -> DataFrame:
+    """(u, v): pairs of rows (cell, node, fp, size, label) of one cell with different labels within ``radius`` bits: for every row the ``most``
+    nearest, or all. Pairs whose sets' sizes rule out the similarity are left out."""
 
     def nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.lexsort((b, far, a))
@@ -218,13 +220,15 @@ def _neighbours(keyed: DataFrame, radius: int, most: int) -> DataFrame:
         return a[stays], b[stays], far[stays]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, node, fp, label in _by_cell(batches):
+        for cell, node, fp, size, label in _by_cell(batches):
             value = fp.view(np.uint64)
             best = (np.zeros(0, dtype=np.int64),) * 3
             for a, b in close_pairs(cell, value, radius):
-                other = label[a] != label[b]
+                other = (label[a] != label[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
                 a, b = a[other], b[other]
-                if len(a):
+                if len(a) and most is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["u", "v"])
+                elif len(a):
                     far = np.bitwise_count(value[a] ^ value[b]).astype(np.int64)
                     best = nearest(*(np.concatenate([x, y]) for x, y in zip(best, (np.append(a, b), np.append(b, a), np.append(far, far)), strict=True)))
             a, b, _ = best
@@ -257,41 +261,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id
     are shuffled; copies are combined before that. Cells come from min-hash bands over the shingle sets; inside
     a cell the bit-sliced comparison of SimHash fingerprints finds neighbours within the search radius, and only pairs
     whose exact Jaccard similarity is at least ``similarity`` link. First each text's nearest neighbour is tried; then, in rounds,
-    the nearest 2, 4, 8, ... of other groups that weren't tried before, until none is left or fewer than one in ``YIELD`` pairs of
-    a round links. So what is tried grows with the rows and not with the square of a group. Texts of nodes with a neighbour are read once.
+    the nearest 2, 4, 8, ... of other groups that weren't tried before, while at least one in ``YIELD`` pairs of a round links; then
+    every pair of different groups that is left. The rounds only merge groups, so that few pairs are left. Texts of nodes with a neighbour are read once.
     """
     signed = _signatures(docs, words, id_col, text_col)
     nodes = cut(
-        signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+        signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     )
     radius = search_radius(similarity)
-    keyed = nodes.select(F.explode("keys").alias("cell"), "node", "fp")
-    tried = cut(_neighbours(keyed.withColumn("label", F.col("node")), radius, 1))
+    keyed = nodes.select(F.explode("keys").alias("cell"), "node", "fp", "size")
+    tried = cut(_neighbours(keyed.withColumn("label", F.col("node")), radius, similarity, 1))
     ends = cut(tried.select(F.col("u").alias("node")).union(tried.select(F.col("v").alias("node"))).distinct())
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
     wanted = ends.join(nodes.select("node", "least"), "node").withColumnRenamed("node", "_node")
     on = (hashed["node"] == wanted["_node"]) & hashed["doc_id"].eqNullSafe(wanted["least"])
     texts = cut(hashed.join(wanted, on, "left_semi").select("node", "text"))
-    near = cut(keyed.join(ends, "node", "left_semi").select("cell", "node", "fp"))
+    near = cut(keyed.join(ends, "node", "left_semi").select("cell", "node", "fp", "size"))
     linked = components(_verified(tried, texts, words, similarity))
     group = cut(ends.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
-    most, going = 1, True
-    while going:
+    most, last = 1, False
+    while True:
         release(docs.sparkSession)
         most *= 2
-        labelled = near.join(group, "node").select("cell", "node", "fp", F.col("root").alias("label"))
-        fresh = cut(_neighbours(labelled, radius, most).join(tried, ["u", "v"], "left_anti"))
+        labelled = near.join(group, "node").select("cell", "node", "fp", "size", F.col("root").alias("label"))
+        fresh = cut(_neighbours(labelled, radius, similarity, None if last else most).join(tried, ["u", "v"], "left_anti"))
         new = cut(_verified(fresh, texts, words, similarity))
         n, found = fresh.count(), new.count()
-        going = found > 0 and found * YIELD >= n
         if found:
             end = lambda k: group.select(F.col("node").alias(k), F.col("root").alias(f"{k}_root"))
             between = new.join(end("u"), "u").join(end("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v"))
             merged = components(between).select(F.col("node").alias("root"), F.col("root").alias("up"))
             group = cut(group.join(merged, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        if going:
-            tried = cut(tried.union(fresh))
+        if last:
+            break
+        last = found == 0 or found * YIELD < n
+        tried = cut(tried.union(fresh))
     return nodes.select("node", "least", "n").join(group, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 

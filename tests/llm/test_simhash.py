@@ -144,3 +144,16 @@ def test_near_copies_with_repeated_lines_go(spark):
         rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(text + text[-8:] * 100))]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(k["doc_id"] for k in kept) == [2 * g for g in range(20)]
+
+
+def test_look_alikes_do_not_end_the_search(spark):
+    """11 families of 60 texts of Jaccard similarity 88/112; ten pairs of one family share a word more (89/111)."""
+    rows = []
+    for g in range(11):
+        for c in range(60):
+            own = [f"o{g}x{c}x{k}" for k in range(12)]
+            if g == 0 and c < 20:
+                own[0] = f"pair{c // 2}"
+            rows.append((g * 100 + c, " ".join([f"f{g}x{k}" for k in range(88)] + own)))
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=1).collect()
+    assert sorted(k["doc_id"] for k in kept) == [i for i, _ in rows if not (i < 20 and i % 2)]
