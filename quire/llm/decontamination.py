@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import as_text
+from quire.llm.common import as_text, cut
 
 #: Which token positions a seed compares (1) and ignores (0).
 MASKS = ("111111", "11011011", "1101100101", "1010011011", "11100010101", "100101001111")
@@ -32,6 +32,10 @@ class Rule:
     identity: float = 0.8
     least: int = 6
 
+    def need(self, n: int) -> int:
+        """Words that a stretch of an item of ``n`` words must have."""
+        return max(self.least, min(self.words, n))
+
 
 def words_of(text: str) -> list[str]:
     """Lower-cased runs of letters and digits."""
@@ -62,47 +66,47 @@ def seed_hashes(ids: np.ndarray, masks: Sequence[str] = MASKS) -> list[tuple[np.
     return out
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, end, matches) of the stretch with the highest score, 1 for an equal word and -3 for another."""
-    score = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    low = np.minimum.accumulate(score)
-    end = int(np.argmax(score - low))
-    start = int(np.flatnonzero(score[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
-
+def accepted_stretches(equal: np.ndarray, need: int, identity: float) -> list[tuple[int, int, int]]:
+    """(start, end, equal words) of the maximal runs of words that lie in a stretch of at least ``need`` words with at least ``identity`` of them equal.
 
-def accepted_stretch(equal: np.ndarray, need: int, identity: float) -> tuple[int, int, int] | None:
-    """(start, end, matches) of a stretch of at least ``need`` words with at least ``identity`` of them equal; None if no stretch has them.
-
-    It is the best stretch if that qualifies, else the one with the most equal words beyond ``identity``, the first of ties.
+    A word adds 1 - ``identity`` to a running balance if it is equal and takes ``identity`` from it else, in whole numbers. A stretch has enough equal words
+    if the balance isn't lower at its end than at its start; the first such start of an end is found in the balance's running minimum.
     """
     if len(equal) < need:
-        return None
-    start, end, same = best_stretch(equal)
-    if end - start >= need and same >= identity * (end - start):
-        return start, end, same
+        return []
     share = Fraction(identity).limit_denominator(10_000)
-    over = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
-    gain = over[need:] - np.minimum.accumulate(over[: len(over) - need])
-    end = int(np.argmax(gain)) + need
-    if gain[end - need] < 0:
-        return None
-    start = int(np.argmin(over[: end - need + 1]))
-    return start, end, int(equal[start:end].sum())
+    balance = np.concatenate([[0], np.cumsum(np.where(equal, share.denominator - share.numerator, -share.numerator))])
+    lowest = np.minimum.accumulate(balance)
+    ends = np.arange(need, len(balance))
+    ends = ends[balance[ends] >= lowest[ends - need]]
+    if not len(ends):
+        return []
+    starts = np.searchsorted(-lowest, -balance[ends])
+    covered = np.zeros(len(balance) + 1, dtype=np.int64)
+    np.add.at(covered, starts, 1)
+    np.add.at(covered, ends, -1)
+    inside = np.concatenate([[0], np.cumsum(covered) > 0, [0]])
+    edge = np.flatnonzero(np.diff(inside.astype(np.int64)))
+    return [(int(a), int(b), int(equal[a:b].sum())) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
 class Index:
     """The seeds of a block of test items, sorted by hash, with a bit filter before them."""
 
     FILTER_BITS = 24
+    #: Hits of seeds that are spread out at once.
+    HITS = 1 << 20
 
     def __init__(self, items: list[tuple[int, str]], rule: Rule):
         self.rule = rule
-        self.item_ids = [i for i, _ in items]
         vocab: dict[str, int] = {}
         self.vocab = vocab
-        # An item of fewer words than the least stretch, null or empty, can't be found.
-        self.items = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t or "")], dtype=np.int64) for _, t in items]
+        # Items with the same words are searched as one. An item of fewer words than the least stretch, null or empty, can't be found.
+        named: dict[tuple[str, ...], list[int]] = {}
+        for i, t in items:
+            named.setdefault(tuple(words_of(t or "")), []).append(i)
+        self.item_ids = list(named.values())
+        self.items = [np.array([vocab.setdefault(w, len(vocab)) for w in words], dtype=np.int64) for words in named]
         hashes, item, place = [], [], []
         for k, ids in enumerate(self.items):
             for at, h in seed_hashes(ids):
@@ -120,27 +124,37 @@ class Index:
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.FILTER_BITS)).astype(np.int64)
 
+    def _diagonals(self, ids: np.ndarray) -> np.ndarray:
+        """The distinct (item, diagonal) that a seed hits, as item * 2**32 + diagonal + 2**31, sorted. Each hit is spread over the places of its seed, so many at a time."""
+        met = [np.zeros(0, dtype=np.int64)]
+        for at, h in seed_hashes(ids):
+            keep = self.seen[self._slot(h)]
+            at, h = at[keep], h[keep]
+            lo = np.searchsorted(self.hash, h, "left")
+            n = np.searchsorted(self.hash, h, "right") - lo
+            total = np.cumsum(n)
+            first = 0
+            while first < len(n):
+                to = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + self.HITS, side="right")))
+                k = n[first:to]
+                place = np.repeat(lo[first:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                diagonal = np.repeat(at[first:to], k) - self.place[place]
+                met.append(np.unique((self.item[place].astype(np.int64) << 32) + diagonal + (1 << 31)))
+                first = to
+        return np.unique(np.concatenate(met))
+
     def search(self, text: str) -> list[tuple[int, int, int, int, int]]:
-        """(item number, first word in the text, first word in the item, words, equal words), a stretch of each item and diagonal that has one the rule accepts."""
+        """(item number, first word in the text, first word in the item, words, equal words): the rule's stretches on every diagonal that a seed hits."""
         ids = np.array([self.vocab.get(w, -1) for w in words_of(text)], dtype=np.int64)
         if len(ids) < self.rule.least:
             return []
-        pairs = set()
-        for at, h in seed_hashes(ids):
-            keep = self.seen[self._slot(h)]
-            at, h = at[keep], h[keep]
-            lo, hi = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
-            for i in np.flatnonzero(hi > lo):
-                for j in range(lo[i], hi[i]):
-                    pairs.add((int(self.item[j]), int(at[i]) - int(self.place[j])))
         found = []
-        for k, diagonal in sorted(pairs):
+        for code in self._diagonals(ids).tolist():
+            k, diagonal = code >> 32, (code & 0xFFFFFFFF) - (1 << 31)
             item = self.items[k]
             a, b = max(0, -diagonal), min(len(item), len(ids) - diagonal)
-            need = max(self.rule.least, min(self.rule.words, len(item)))
-            stretch = accepted_stretch(item[a:b] == ids[a + diagonal : b + diagonal], need, self.rule.identity)
-            if stretch:
-                start, end, same = stretch
+            need = self.rule.need(len(item))
+            for start, end, same in accepted_stretches(item[a:b] == ids[a + diagonal : b + diagonal], need, self.rule.identity):
                 found.append((k, a + start + diagonal, a + start, end - start, same))
         return found
 
@@ -179,49 +193,85 @@ def _blocks(tests: DataFrame) -> Iterator[list[tuple[int, str]]]:
 _SCHEMA = "doc_id long, item_id long, doc_word long, item_word long, n_words long, n_equal long"
 
 
+def _on_each_block(tests: DataFrame, rule: Rule, run, last) -> DataFrame | None:
+    """``run`` (block on the executors to DataFrame) over every block. One block's rows stay lazy; of several, each is computed into the
+    checkpoint folder (as ``last`` shapes it) and its broadcast is freed before the next is read, so one block at a time is in memory."""
+    spark = tests.sparkSession
+    blocks = _blocks(tests)
+    block, out = next(blocks, None), None
+    while block is not None:
+        after = next(blocks, None)
+        sent = spark.sparkContext.broadcast(Sent(block, rule))
+        if out is None and after is None:
+            return run(sent)
+        part = cut(last(run(sent)))
+        sent.unpersist(blocking=True)
+        out = part if out is None else out.union(part)
+        block = after
+    return out
+
+
 def overlaps(
     docs: DataFrame, tests: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text", test_id_col: str = "item_id", test_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words, n_equal): verified overlaps of documents with test items.
 
-    The test side is sent out in blocks of a fixed size (``BLOCK_BYTES``), so memory doesn't grow with it; documents are
+    Every diagonal (place of an item's words against a text's) that a seed hits gives the maximal runs of words that lie in a stretch the rule accepts.
+    The test side is sent out in blocks of a fixed size (``BLOCK_BYTES``), one at a time; documents are
     read once for each block and never shuffled. Null and empty texts on either side have no overlap; null ids are carried as they are; repeated rows
     give repeated overlaps; an empty table on either side gives none. Other columns are ignored.
     """
-    spark = docs.sparkSession
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for block in _blocks(tests.select(F.col(test_id_col).cast("long"), F.col(test_text_col))):
-        sent = spark.sparkContext.broadcast(Sent(block, rule))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    def part(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value.index()
             for batch in batches:
                 rows = [[] for _ in range(6)]
                 for i, text in zip(batch.column(0).to_pylist(), as_text(batch.column(1)), strict=True):
                     for k, *rest in index.search(text):
-                        for column, value in zip(rows, (i, index.item_ids[k], *rest), strict=True):
-                            column.append(value)
+                        for name in index.item_ids[k]:
+                            for column, value in zip(rows, (i, name, *rest), strict=True):
+                                column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["doc_id", "item_id", "doc_word", "item_word", "n_words", "n_equal"])
 
-        part = wanted.mapInArrow(run, _SCHEMA)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], _SCHEMA)
+        return wanted.mapInArrow(run, _SCHEMA)
 
+    out = _on_each_block(tests.select(F.col(test_id_col).cast("long"), F.col(test_text_col)), rule, part, lambda df: df)
+    return out if out is not None else docs.sparkSession.createDataFrame([], _SCHEMA)
 
-def decontaminate(docs: DataFrame, tests: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that overlap a test item (by id and text; a row with a null id is judged by its text too)."""
-    spark = docs.sparkSession
-    out = docs
-    for block in _blocks(tests.select(F.col("item_id").cast("long"), F.col("text"))):
-        sent = spark.sparkContext.broadcast(Sent(block, rule))
-        names = docs.columns
-        at = names.index(text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
+def decontaminate(docs: DataFrame, tests: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text overlaps a test item.
+
+    A row is judged by its text alone, whatever its id, also a null one; equal texts stay or go together. Null and empty texts stay. An empty table on either
+    side removes nothing. All columns are kept, whatever they are named. With one block of test items nothing is shuffled; with more, the hashes and sizes of the
+    overlapping texts are gathered and their rows left out by a join.
+    """
+    at = docs.columns.index(text_col)
+    blocks = _blocks(tests.select(F.col("item_id").cast("long"), F.col("text")))
+    first = next(blocks, None)
+    if first is None:
+        return docs
+    if next(blocks, None) is None:
+        sent = docs.sparkSession.sparkContext.broadcast(Sent(first, rule))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value.index()
             for batch in batches:
                 yield batch.filter(pa.array([not index.search(t) for t in as_text(batch.column(at))], pa.bool_()))
 
-        out = out.mapInArrow(run, out.schema)
-    return out
+        return docs.mapInArrow(run, docs.schema)
+    name = [F.xxhash64(text_col), F.octet_length(text_col)]
+    texts = docs.where(F.col(text_col).isNotNull()).select(name[0].alias("_hash"), name[1].alias("_size"), F.col(text_col).alias("text"))
+
+    def part(sent) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value.index()
+            for batch in batches:
+                yield batch.filter(pa.array([bool(index.search(t)) for t in as_text(batch.column(2))], pa.bool_())).select([0, 1])
+
+        return texts.mapInArrow(run, "_hash long, _size int")
+
+    found = _on_each_block(tests.select(F.col("item_id").cast("long"), F.col("text")), rule, part, lambda df: df.distinct()).distinct()
+    return docs.join(found, (name[0] == found["_hash"]) & (name[1] == found["_size"]), "left_anti")
