@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import math
 import tempfile
 
 import pyarrow as pa
@@ -12,13 +12,22 @@ from pyspark.sql import Window
 
 #: Cells that a group's rows are dealt over when they get consecutive numbers.
 CELLS = 1024
+#: Copies of one row that are numbered together.
+COPIES = 1 << 16
+#: A key with more than one in HOT of all rows is joined by broadcast: fewer than HOT keys can have so many.
+HOT = 2048
+#: Most 64-bit words of a screen.
+WORDS = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder: the session's ``spark.checkpoint.dir``; a temporary one is made only where none is set (tests, one machine)."""
+    """The cluster's checkpoint folder: the session's ``spark.checkpoint.dir``. Where none is set, a temporary one is made if the driver is the only machine; a cluster must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-"))
     return sc.getCheckpointDir()
 
 
@@ -28,13 +37,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the session drop shuffle files and checkpoints of plans that nothing refers to any more: between rounds of an iteration
-    they would pile up on the executors until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -54,23 +56,62 @@ def as_text(column: pa.Array) -> list[str]:
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
-    """Adds ``out``: a number from 0 without gaps in each group.
+    """Adds ``out``: a number from 0 without gaps in each group. It depends on the rows alone: they stand by their cell, a hash of ``order`` (columns that name
+    a row: the others must follow from them), then by ``order``. Equal rows are interchangeable.
 
-    A group may hold any share of the rows: it is dealt over ``CELLS`` cells by a hash of ``order``, rows are numbered
-    inside their cell and shifted by the size of the cells before. Only the cells' counts (``CELLS`` per group) are
-    summed in one place. ``group`` and ``order`` columns together should name a row; rows equal in all of them are interchangeable.
+    A group, or one row's copies, may hold any share of all rows. Copies are counted before the shuffle; rows are numbered inside their cell, one of ``CELLS``
+    of a group, by running sums of the counts and shifted by the size of the cells before. Only the cells' counts (``CELLS`` per group) are
+    summed in one place. Numbers are then dealt to copies, ``COPIES`` at a time, spread anew if a row has more.
     """
-    dealt = df.withColumn("_cell", F.pmod(F.xxhash64(*order), F.lit(CELLS)).cast("int"))
-    counts = dealt.groupBy(*group, "_cell").agg(F.count("*").alias("_n"))
+    dealt = cut(df.groupBy(*df.columns).agg(F.count("*").alias("_n")).withColumn("_cell", cell(order)))
+    counts = dealt.groupBy(*group, "_cell").agg(F.sum("_n").alias("_all"))
     before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
+    starts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_cell").alias("_c"), F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    above = Window.partitionBy(*group, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     on = F.col("_cell") == F.col("_c")
     for g in group:
         on &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return (
-        dealt.withColumn("_i", inside)
-        .join(starts, on)
-        .withColumn(out, (F.col("_start") + F.col("_i")).cast("long"))
-        .drop("_cell", "_c", "_start", "_i", *[f"_g_{g}" for g in group])
-    )
+    placed = dealt.withColumn("_i", F.coalesce(F.sum("_n").over(above), F.lit(0))).join(starts, on).withColumn("_from", F.col("_start") + F.col("_i"))
+    placed = placed.select(*df.columns, "_n", "_from")
+    if (dealt.agg(F.max("_n")).first()[0] or 0) > COPIES:
+        part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES).cast("long")))
+        chunks = placed.withColumn("_part", part).repartition("_from", "_part")
+        placed = chunks.select(*df.columns, F.least(F.lit(COPIES), F.col("_n") - F.col("_part") * COPIES).alias("_n"), (F.col("_from") + F.col("_part") * COPIES).alias("_from"))
+    one = F.when(F.col("_n") == 1, F.array("_from")).otherwise(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1))
+    return placed.select(*df.columns, F.explode(one).cast("long").alias(out))
+
+
+def cell(columns: list[str]) -> Column:
+    """A number below CELLS from the MD5 of the columns as text, joined by blanks (null: nothing)."""
+    text = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % CELLS).cast("int")
+
+
+def skew_join(rows: DataFrame, values: DataFrame, key: str, n: str, total: int, how: str = "inner", light: int = 0) -> DataFrame:
+    """``rows`` joined with ``values`` (one row per key, with the number ``n`` of ``rows`` it meets) on ``key``, inner or left.
+
+    Keys with more than one in HOT of all ``total`` rows, fewer than HOT of them, are sent to the rows; the others meet by a shuffle in which no key has more
+    than that. So no task gathers a hot key. ``rows`` and ``values`` are read twice. Up to ``light`` rows in all, which one task can take whatever their keys, are joined plainly.
+    """
+    if total <= light:
+        return rows.join(values, key, how)
+    large = F.col(n) * HOT > total
+    hot = F.broadcast(values.where(large))
+    few = values.where(~large)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(few, key, how))
+
+
+def screened(rows: DataFrame, keys: DataFrame, column: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: false for rows whose ``column`` (a hash, long) isn't in ``keys`` (one column of such hashes), but for some that share a bit.
+
+    The bits, sixteen for each key, are sent to all rows. There are at most 64 * WORDS, so far more keys than 4 * WORDS let more and more rows through:
+    the caller's join decides, the screen only keeps most rows without a partner out of its shuffle.
+    """
+    words = 1 << max(4, min(WORDS.bit_length() - 1, math.ceil(math.log2(keys.count() / 4 + 1))))
+    at = lambda c: F.col(c).bitwiseAND(F.lit(words - 1)).alias("_q_word")
+    bit = lambda c: F.shiftrightunsigned(F.col(c), 58).cast("int")
+    (key,) = keys.columns
+    bits = keys.select(at(key), F.call_function("shiftleft", F.lit(1).cast("long"), bit(key)).alias("b")).groupBy("_q_word").agg(F.bit_or("b").alias("_q_bits"))
+    found = rows.withColumn("_q_word", at(column)).join(F.broadcast(bits), "_q_word", "left")
+    hit = F.call_function("shiftright", F.coalesce("_q_bits", F.lit(0).cast("long")), bit(column)).bitwiseAND(F.lit(1)) == 1
+    return found.withColumn(out, hit).drop("_q_word", "_q_bits")

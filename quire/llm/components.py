@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut
+from quire.llm.common import cut, skew_join
+
+#: Edges (two longs each) that one task takes whatever their ends are.
+LIGHT = 1 << 17
 
 
 def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every larger neighbour of a node is hung on the node's least neighbour (or itself)."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    least = edges.select("u", "v", F.lit(0).alias("up")).union(up.select("u", "v", F.lit(1).alias("up"))).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.sum("up").alias("n"))
+    return skew_join(up, least, "u", "n", n, light=LIGHT).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours are hung on the least of them. Edges point from the larger to the smaller end."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = skew_join(edges, least, "u", "n", n, light=LIGHT).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -30,15 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge; ``root`` is the smallest node reachable.
 
     ``edges`` has two long columns u and v; self-loops, nulls, repeats and either direction are fine (loops and nulls are dropped).
-    Each round keeps a number of edges at most linear in the input; minima are combined before the shuffle and the joins
-    back to them can be split by adaptive execution, so a node with very many neighbours doesn't gather in one task.
+    Each round keeps a number of edges at most linear in the input; minima are combined before the shuffle and those of
+    nodes with very many neighbours are sent to the edges, so such a node doesn't gather in one task.
     Rounds are cut by checkpoints.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges)
     was = _digest(edges)
     while was[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        # The larger stars have at most as many edges as there were.
+        edges = cut(_small_star(_large_star(edges, was[0]), was[0]))
         now = _digest(edges)
         if now == was:
             break

@@ -74,12 +74,14 @@ def test_large_cells_are_dealt_without_loss(spark, monkeypatch):
     values = sorted({base ^ (1 << i) ^ (1 << j) for i in range(40) for j in range(i)})
     fps = spark.createDataFrame([(v,) for v in values], "fp long").coalesce(2)
     want = {r["node"]: r["root"] for r in components(simhash.links(fps, 3)).collect()}
-    monkeypatch.setattr(simhash, "CELL_ROWS", 64)
+    monkeypatch.setattr(simhash, "CELL_WEIGHT", 64 * simhash.FP_WEIGHT)
     assert {r["node"]: r["root"] for r in components(simhash.links(fps, 3)).collect()} == want
     assert len(want) == len(values) and len(set(want.values())) == 1
 
 
-def test_component_shapes(spark, sets):
+@pytest.mark.parametrize("light", [1 << 17, 0])
+def test_component_shapes(spark, sets, monkeypatch, light):
+    monkeypatch.setattr("quire.llm.components.LIGHT", light)
     n = 60
     chain = [(i, i + 1) for i in range(0, 30)]
     star = [(40, i) for i in range(41, 55)]
@@ -157,3 +159,55 @@ def test_look_alikes_do_not_end_the_search(spark):
             rows.append((g * 100 + c, " ".join([f"f{g}x{k}" for k in range(88)] + own)))
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=1).collect()
     assert sorted(k["doc_id"] for k in kept) == [i for i, _ in rows if not (i < 20 and i % 2)]
+
+
+def test_hot_families_are_dealt_without_loss(spark, monkeypatch, sets):
+    """Cells far beyond the weight that one comparison takes: a family of near copies, one of look-alikes, and links between them."""
+    r = np.random.default_rng(8)
+    common = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(90):
+        text = list(common)
+        text[int(r.integers(0, 60))] = f"x{i}"
+        rows.append((i, " ".join(text)))
+    for i in range(90, 150):
+        rows.append((i, " ".join(common[:44] + [f"y{i}x{k}" for k in range(16 if i % 10 else 5)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_survivors(rows, sets, words=1)
+    monkeypatch.setattr(simhash, "BANDS", 12)
+    monkeypatch.setattr(simhash, "ROWS", 1)
+    monkeypatch.setattr(simhash, "STEPS", ((3, False), (12, True)))
+    for weight in (1 << 21, 1500):
+        monkeypatch.setattr(simhash, "CELL_WEIGHT", weight)
+        assert sorted(str(k["doc_id"]) for k in simhash.deduplicate(df, words=1).collect()) == want
+
+
+def test_null_and_empty_texts_of_one_id_are_one(spark):
+    rows = [(1, None, "a"), (1, "", "b"), (2, "x y", "c"), (2, "x y", "d"), (None, None, "e")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, node string")).collect()
+    assert sorted((k["doc_id"], k["text"] or "") for k in kept) == [(1, ""), (2, "x y")]
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "HOT", 16)
+    rows = spark.range(2000).select(F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("k"), "id").union(spark.range(1).selectExpr("cast(-5 as long) k", "id"))
+    values = rows.where("k >= 0").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    inner = common.skew_join(rows, values, "k", "n", 2001)
+    assert inner.count() == 2000 and inner.where("v <> 2 * k").count() == 0 and inner.where("k = 7").count() == 1800
+    outer = common.skew_join(rows, values, "k", "n", 2001, "left")
+    assert outer.count() == 2001 and outer.where("v is null").count() == 1
+
+
+def test_screen_lets_every_key_through(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.common import screened
+
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    seen = screened(rows, rows.where("id % 100 = 0").select(F.col("h").alias("key")), "h", "may")
+    assert seen.where("id % 100 = 0 and not may").count() == 0 and seen.where("may").count() < 3000
+    assert screened(rows, rows.where("false").select("h"), "h", "may").where("may").count() == 0
