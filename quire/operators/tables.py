@@ -29,48 +29,40 @@ def split_rows(tops: np.ndarray, gap: float) -> list[np.ndarray]:
     return np.split(np.arange(len(tops)), np.flatnonzero(np.abs(np.diff(tops)) > _F(gap)) + 1) if len(tops) else []
 
 
-class _Columns:
-    """Column starts, begun with the longest row's (the last such row) and grown by edges that are near none."""
-
-    def __init__(self, left: np.ndarray, right: np.ndarray, rows: list[np.ndarray], gap: float):
-        longest = max(reversed(rows), key=len)
-        self.starts = list(left[longest])
-        self.low, self.high = self.starts[0], right[longest[-1]]
-        for cell in (c for row in rows for c in row):
-            self._meet(left[cell], gap, True)
-            self._meet(right[cell], gap, False)
-        self.widths = [b - a for a, b in zip(self.starts, self.starts[1:], strict=False)] + [self.high - self.starts[-1]]
-
-    def _meet(self, x: np.float32, gap: float, is_start: bool) -> None:
-        for i, v in enumerate(self.starts):
-            if x - _F(gap) <= v <= x + _F(gap):
-                return
-            if x < self.low:
-                self.starts.insert(0, x)
-                self.low = x
-                return
-            if x > self.high:
-                if is_start:
-                    self.starts.append(x)
-                self.high = x
-                return
-            if x < v:
-                self.starts.insert(i, x)
-                return
-
-
-def _spanned(sizes: list, start: int, extent: np.float32) -> int:
-    """How many columns or rows from ``start`` an extent covers: up to the sum that fits within FIT, or the nearer of the two around it."""
-    total = _F(0)
-    for i in range(start, len(sizes)):
-        total = _F(sum(sizes[start : i + 1], _F(0)))
-        if i == start and total > extent:
-            return 1
-        if abs(total - extent) <= _F(FIT):
-            return i + 1 - start
-        if total > extent:
-            return i + 1 - start if abs(total - extent) < abs(total - sizes[i] - extent) else max(i - 1, 0) + 1 - start
-    return len(sizes) - start
+def column_starts(left: np.ndarray, right: np.ndarray, rows: list[np.ndarray], gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and widths of columns.
+
+    The longest row (the last one of equals) gives the first starts and how far the table reaches. Then both edges of every cell are tried in reading order.
+    An edge beyond the reach moves it there, and starts a column if it is a left one; only one near the first start is passed over. For any other edge, the first
+    start that is right of it or within ``gap`` decides: if it isn't within ``gap``, the edge starts a column before it. (Starts of a row that slants can be out of order.)
+    """
+    longest = rows[max(range(len(rows)), key=lambda k: (len(rows[k]), k))]
+    starts, reach = left[longest], right[longest[-1]]
+    cells = np.concatenate(rows)
+    for x, opens in zip(np.stack([left[cells], right[cells]], axis=1).ravel(), np.tile([True, False], len(cells)), strict=True):
+        near = (x - _F(gap) <= starts) & (starts <= x + _F(gap))
+        if x > reach:
+            if not near[0]:
+                reach = x
+                starts = np.append(starts, x) if opens else starts
+            continue
+        first = np.flatnonzero(near | (x < starts))[:1]
+        if len(first) and not near[first[0]]:
+            starts = np.insert(starts, first[0], x)
+    return starts, np.diff(np.append(starts, reach))
+
+
+def spanned(sizes: np.ndarray, start: int, extent: np.float32) -> int:
+    """How many columns or rows from ``start`` an extent covers: up to the first running sum within FIT of it, or beyond it; of a sum beyond, one
+    less if the sum before is nearer (but one at least); all that are left if no sum gets there."""
+    sums = np.cumsum(sizes[start:], dtype=_F)
+    fits = np.abs(sums - extent) <= _F(FIT)
+    there = np.flatnonzero(fits | (sums > extent))
+    if not len(there):
+        return len(sizes) - start
+    k = int(there[0])
+    nearer_before = not fits[k] and k > 0 and abs(sums[k] - sizes[start + k] - extent) <= abs(sums[k] - extent)
+    return k if nearer_before else k + 1
 
 
 def recover_cells(polygons: np.ndarray, row_gap: float = ROW_GAP, column_gap: float = COLUMN_GAP) -> list[tuple[int, int, int, int]]:
@@ -79,21 +71,20 @@ def recover_cells(polygons: np.ndarray, row_gap: float = ROW_GAP, column_gap: fl
     if not len(p):
         return []
     rows = split_rows(p[:, 0, 1], row_gap)
-    columns = _Columns(p[:, 0, 0], p[:, 2, 0], rows, column_gap)
+    starts, column_widths = column_starts(p[:, 0, 0], p[:, 2, 0], rows, column_gap)
     side = lambda a, b: np.sqrt(((p[:, b] - p[:, a]) ** 2).sum(axis=1, dtype=_F), dtype=_F)
     widths, heights = side(3, 0), side(1, 0)
     tops = [p[r[0], 0, 1] for r in rows]
-    tall = [b - a for a, b in zip(tops, tops[1:], strict=False)] + [max(_F(0), heights[rows[-1]].max())]
-    starts = np.array(columns.starts, dtype=_F)
+    tall = np.append(np.diff(np.array(tops, dtype=_F)), max(_F(0), heights[rows[-1]].max())).astype(_F)
     out: list = [None] * len(p)
     for r, row in enumerate(rows):
         used = 0
         for c in row:
             nearest = int(np.argmin(np.abs(starts - p[c, 0, 0])))
             first = max(used, nearest)
-            n = _spanned(columns.widths, first, widths[c]) if first < len(starts) else len(starts) - first
+            n = spanned(column_widths, first, widths[c])
             used += max(n, 0)
-            k = _spanned(tall, r, heights[c])
+            k = spanned(tall, r, heights[c])
             out[c] = (r, r + k - 1, first, first + n - 1)
     return out
 
@@ -207,14 +198,11 @@ def splice(tokens: DataFrame, matched: DataFrame, group: Sequence[str]) -> DataF
     """
     by_table = matched.groupBy(*group).agg(F.map_from_entries(F.collect_list(F.struct("cell_idx", cell_html(F.transform("spans", lambda s: s["text"]))))).alias("cells"))
     joined = tokens.join(by_table, list(group), "left").withColumn("cells", F.coalesce("cells", F.create_map().cast("map<int,string>")))
-    closes = F.transform("tokens", lambda x: x.contains("</td>").cast("int"))
-
-    def one(x: Column, i: Column) -> Column:
-        ordinal = F.aggregate(F.slice(closes, F.lit(1), i), F.lit(0), lambda s, v: s + v)
-        content = F.coalesce(F.try_element_at("cells", ordinal), F.lit(""))
-        return F.when(x == "<td></td>", F.concat(F.lit("<td>"), content, F.lit("</td>"))).when(x.contains("</td>"), F.concat(content, x)).otherwise(x)
-
-    html = F.array_join(F.transform("tokens", one), "")
+    # A mark before what closes a cell cuts the joined tokens into pieces; a cell's content goes between two of them.
+    mark = "\x00"
+    one = lambda x: F.when(x == "<td></td>", F.lit(f"<td>{mark}</td>")).when(x.contains("</td>"), F.concat(F.lit(mark), x)).otherwise(x)
+    pieces = F.split(F.array_join(F.transform("tokens", one), ""), mark)
+    html = F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.coalesce(F.try_element_at("cells", i - 1), F.lit("")), x))), "")
     return joined.select(*group, F.regexp_replace(html, "</?(thead|tbody)>", "").alias("html"))
 
 
