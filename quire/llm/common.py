@@ -78,7 +78,7 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str) -> Dat
         chunks = placed.withColumn("_part", part).repartition("_from", "_part")
         placed = chunks.select(*df.columns, F.least(F.lit(COPIES), F.col("_n") - F.col("_part") * COPIES).alias("_n"), (F.col("_from") + F.col("_part") * COPIES).alias("_from"))
     one = F.when(F.col("_n") == 1, F.array("_from")).otherwise(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1))
-    return placed.select(*df.columns, F.explode(one).cast("long").alias(out))
+    return placed.select(*df.columns, F.explode(one.cast("array<bigint>")).alias(out))
 
 
 def cell(columns: list[str]) -> Column:

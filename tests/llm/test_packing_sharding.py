@@ -105,3 +105,28 @@ def test_shard_odd_rows(odd, empty, spark, tmp_path):
     assert sharding.assign(empty, [1.0]).count() == 0
     sharding.write_shards(odd, str(tmp_path / "out"), [1.0, 1.0])
     assert spark.read.parquet(str(tmp_path / "out")).count() == odd.count()
+
+
+@pytest.mark.parametrize("copies", [1 << 16, 7])
+def test_numbers_of_equal_rows(spark, monkeypatch, copies):
+    """One row holds nine tenths of all: numbers have no gap, and depend on neither order nor partitions."""
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "COPIES", copies)
+    rows = [(1, "same", None)] * 900 + [(1, f"x{k}", k) for k in range(60)] + [(None, "y", 1)] * 40
+    out = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows[::-1] if parts == 1 else rows, "g int, name string, k int").repartition(parts)
+        got = common.numbered(df, ["g"], ["name", "k"], "i").collect()
+        assert sorted(r["i"] for r in got if r["g"] == 1) == list(range(960)) and sorted(r["i"] for r in got if r["g"] is None) == list(range(40))
+        out.append(sorted(map(str, got)))
+    assert out[0] == out[1]
+    assert common.numbered(df.where("false"), ["g"], ["name", "k"], "i").count() == 0
+
+
+def test_repeated_rows_get_places_of_their_own(spark):
+    df = spark.createDataFrame([(None, "")] * 500 + [(k, "a b c") for k in range(50)], "doc_id long, text string")
+    packed = packing.pack(df, max_len=16, budget=64)
+    assert packed.count() == 550 and packed.select("bucket", "batch", "place").distinct().count() == 550
+    shards = sharding.assign(df, [1.0] * 4)
+    assert shards.select("shard", "slot").distinct().count() == 550
