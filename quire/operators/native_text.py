@@ -1,13 +1,16 @@
 """Glyphs to spans, lines and the texts of regions.
 
-Removing duplicates and building spans and lines depend on what has been gathered so far, so they run over one page's glyphs in
-order (``applyInPandas`` by page). The rest is joins and aggregates.
+Removing duplicates and building spans and lines depend on what has been gathered so far. Glyphs are dealt and sorted by page once; a task then works on
+Arrow batches of many whole pages with array operations, and walks glyph by glyph only where a glyph may depend on the ones before it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,100 +39,223 @@ def scan_glyphs(raw: DataFrame) -> DataFrame:
     )
 
 
-def kept_glyphs(ch: list[str], box: list[tuple], sign: list[tuple]) -> list[bool]:
-    """Which glyphs of a page stay. White space does. Others go if they are the last kept glyph shifted a little (a shadow), or nearly
-    cover an earlier kept glyph of the same signature. Kept glyphs are found by signature and square of the tolerance's size."""
-    keep = [False] * len(ch)
-    seen: dict[tuple, list[tuple]] = {}
-    last = -1
-    for i, c in enumerate(ch):
-        if not c.isspace():
-            b = box[i]
-            if last >= 0 and sign[last] == sign[i] and _is_shadow(box[last], b):
-                continue
-            x, y = int(b[0] // NEAR), int(b[1] // NEAR)
-            around = [o for u in (x - 1, x, x + 1) for v in (y - 1, y, y + 1) for o in seen.get((sign[i], u, v), ())]
-            if any(all(abs(p - q) <= NEAR for p, q in zip(b, o, strict=True)) for o in around):
-                continue
-            seen.setdefault((sign[i], x, y), []).append(b)
-        keep[i] = True
-        last = i
-    return keep
+#: Glyphs of whole pages that are handled at once.
+ROWS = 1 << 17
+_LINE_ENDS = ("\n", "\x02")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def _is_shadow(a: tuple, b: tuple) -> bool:
-    d = [np.float32(q) - np.float32(p) for p, q in zip(a, b, strict=True)]
-    if abs(d[0] - d[2]) > np.float32(RIGID) or abs(d[1] - d[3]) > np.float32(RIGID):
-        return False
-    if not all(NEAR < abs(v) <= SHIFT for v in d[:2]):
-        return False
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    smaller = min((a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1]))
-    return bool(w > 0 and h > 0 and smaller != 0 and np.float32(w * h / smaller) >= np.float32(OVERLAP))
+def _by_page(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by page and sorted. (By a hash of the page: a repartition by columns that a join was made on may be left out, and pages come in pieces.)"""
+    return rows.repartition(F.xxhash64("doc_id", "page_idx")).sortWithinPartitions("doc_id", "page_idx", *order)
 
 
-def span_numbers(ch: list[str], box: list[tuple], style: list[tuple]) -> list[int]:
-    """A span ends where the style changes from its first glyph's, after a newline or soft hyphen, or before a superscript to its right."""
-    out = [0] * len(ch)
-    rise, tall = float(np.float32(SUPER_RISE)), float(np.float32(SUPER_HEIGHT))
-    first = 0
-    for i, b in enumerate(box):
-        if not i:
-            x0, y0, x1, y1 = b
-            continue
-        h = y1 - y0
-        raised = b[1] < y0 - h * rise and b[3] < h * tall + y0 and b[0] > x1
-        if raised or style[i] != style[first] or ch[i - 1] in "\n\x02":
-            first = i
-            x0, y0, x1, y1 = b
-            out[i] = out[i - 1] + 1
-        else:
-            x0, y0, x1, y1 = min(x0, b[0]), min(y0, b[1]), max(x1, b[2]), max(y1, b[3])
-            out[i] = out[i - 1]
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column; the first row does."""
+    out = np.zeros(len(columns[0]), dtype=bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
     return out
 
 
-def line_numbers(last: list[str], box: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Over spans: a line ends after a newline or soft hyphen, at a turn of 45 to 135 degrees, or where a span starts below all of it."""
-    out = np.zeros(len(last), dtype=np.int64)
+def _whole_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole pages (doc_id, page_idx first) from batches sorted by page."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS:
+            table = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(_changes(np.asarray(table.column(0)), np.asarray(table.column(1))))[-1])
+            if last:
+                yield table.slice(0, last)
+                held, rows = table.slice(last).to_batches(), rows - last
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
+def _floats(table: pa.Table, *names: str) -> np.ndarray:
+    return np.stack([np.asarray(table.column(n), dtype=np.float32) for n in names], axis=1)
+
+
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
+    """A number for each row, and the value of each number; null is a value."""
+    d = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
+    return np.asarray(d.indices).astype(np.int64), d.dictionary.to_pylist()
+
+
+def _merged(*columns: np.ndarray) -> np.ndarray:
+    """One number for each combination of values."""
+    out = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        if len(c) and (c != c[0]).any():
+            values, place = np.unique(c, return_inverse=True)
+            out = out * len(values) + place
+            if out.max() > 1 << 31:
+                out = np.unique(out, return_inverse=True)[1]
+    return out
+
+
+def _shadows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each box of ``b`` is that of ``a`` moved a little on both axes and still covers much of it."""
+    d = b - a
+    moved = np.abs(d[:, :2])
+    rigid = (np.abs(d[:, :2] - d[:, 2:]) <= np.float32(RIGID)).all(axis=1) & ((moved > NEAR) & (moved <= SHIFT)).all(axis=1)
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    common = np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2])
+    smaller = np.minimum(*(np.prod(x[:, 2:] - x[:, :2], axis=1) for x in (a, b)))
+    share = (np.prod(common, axis=1) / np.where(smaller == 0, 1, smaller)).astype(np.float32)
+    return rigid & (common > 0).all(axis=1) & (smaller != 0) & (share >= np.float32(OVERLAP))
+
+
+def kept_glyphs(page: np.ndarray, sign: np.ndarray, white: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which glyphs stay, over whole pages in order. White space does. Others go if they are the last kept glyph of the page shifted a little (a shadow), or nearly
+    cover an earlier kept glyph of the page with the same signature.
+
+    Glyphs that share no square of twice the tolerance, on any of four grids shifted by it, are never near each other; only the others, shadows of their
+    neighbours, and what follows a glyph that went are looked at one by one.
+    """
+    n = len(page)
+    group = _merged(page, sign)
+    square = np.floor(box[:, :2].astype(np.float64) / NEAR).astype(np.int64)
+    twin = np.zeros(n, dtype=bool)
+    for dx in (0, 1):
+        for dy in (0, 1):
+            key = (group * 0x2545F491 + (square[:, 0] + dx >> 1)) * 0x9E3779B1 + (square[:, 1] + dy >> 1)
+            order = np.argsort(key, kind="stable")
+            same = np.flatnonzero(np.diff(key[order]) == 0)
+            twin[order[same]] = twin[order[same + 1]] = True
+    twin &= ~white
+    shadow = np.zeros(n, dtype=bool)
+    alike = np.flatnonzero(group[1:] == group[:-1]) + 1
+    shadow[alike] = _shadows(box[alike - 1], box[alike]) & ~white[alike]
+    keep = np.ones(n, dtype=bool)
+    seen: dict[tuple[int, int, int], list[list[float]]] = {}
+
+    def goes(i: int) -> bool:
+        if white[i]:
+            return False
+        last = i - 1
+        while last >= 0 and not keep[last]:
+            last -= 1
+        if last >= 0 and group[last] == group[i] and (shadow[i] if last == i - 1 else _shadows(box[last : last + 1], box[i : i + 1])[0]):
+            return True
+        if not twin[i]:
+            return False
+        k, (x, y), b = int(group[i]), square[i].tolist(), box[i].tolist()
+        for u in (x - 1, x, x + 1):
+            for v in (y - 1, y, y + 1):
+                for o in seen.get((k, u, v), ()):
+                    if abs(b[0] - o[0]) <= NEAR and abs(b[1] - o[1]) <= NEAR and abs(b[2] - o[2]) <= NEAR and abs(b[3] - o[3]) <= NEAR:
+                        return True
+        seen.setdefault((k, x, y), []).append(b)
+        return False
+
+    done = 0
+    for i in np.flatnonzero(twin | shadow).tolist():
+        i = max(i, done)
+        while done <= i < n:
+            keep[i] = not goes(i)
+            done = i + 1
+            if not keep[i] and done < n and page[done] == page[i]:
+                i = done
+    return keep
+
+
+def span_starts(page: np.ndarray, style: np.ndarray, ends: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which glyphs begin a span: the page's first, one of another style than the one before, one after a newline or soft hyphen (``ends``), and a
+    superscript to the right of all of the span so far. Only a glyph that is higher than the one before and right of it can be that."""
+    first = _changes(page, style)
+    first[1:] |= ends[:-1]
+    x0, y0, x1, y1 = box.astype(np.float64).T
+    rise, tall = float(np.float32(SUPER_RISE)), float(np.float32(SUPER_HEIGHT))
+    begun = np.maximum.accumulate(np.where(first, np.arange(len(page)), 0))
+    may = np.flatnonzero(~first[1:] & (y0[1:] < y0[:-1]) & (x0[1:] > x1[:-1])) + 1
+    last = 0
+    for i in may.tolist():
+        s = slice(max(int(begun[i]), last), i)
+        top, bottom = y0[s].min(), y1[s].max()
+        if y0[i] < top - (bottom - top) * rise and y1[i] < (bottom - top) * tall + top and x0[i] > x1[s].max():
+            first[i] = True
+            last = i
+    return first
+
+
+def line_starts(page: np.ndarray, ends: np.ndarray, rotation: np.ndarray, box: np.ndarray) -> np.ndarray:
+    """Which spans begin a line: the page's first, one after a newline or soft hyphen, at a turn of 45 to 135 degrees, or below all of the line so far."""
+    out = np.zeros(len(page), dtype=bool)
     pi = np.float32(np.pi)
-    bottom, turn = (box[0][3], rotation[0]) if len(last) else (0, 0)
-    for i in range(1, len(last)):
-        d = abs(rotation[i] - turn) % (2 * pi)
-        d = min(d, 2 * pi - d)
-        turned = rotation[i] != turn and pi / 4 <= d <= 3 * pi / 4
-        if last[i - 1] in ("\n", "\x02") or turned or box[i][1] > bottom:
-            bottom, turn = box[i][3], rotation[i]
-            out[i] = out[i - 1] + 1
-        else:
-            bottom = max(bottom, box[i][3])
-            out[i] = out[i - 1]
+    top, low, fresh = box[:, 1].tolist(), box[:, 3].tolist(), _changes(page).tolist()
+    after, turns = [False, *ends[:-1].tolist()], rotation.tolist()
+    bottom, turn = 0.0, 0.0
+    for i in range(len(out)):
+        begins = fresh[i] or after[i] or top[i] > bottom
+        if not begins and turns[i] != turn:
+            d = abs(np.float32(turns[i]) - np.float32(turn)) % (2 * pi)
+            begins = bool(pi / 4 <= min(d, 2 * pi - d) <= 3 * pi / 4)
+        if begins:
+            out[i], bottom, turn = True, low[i], turns[i]
+        elif low[i] > bottom:
+            bottom = low[i]
     return out
 
 
-def _page(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("char_idx", kind="stable").reset_index(drop=True)
-    rotation = pdf["rotation"].to_numpy(np.float32)
-    half_up = np.trunc(rotation * np.float32(1000) + np.copysign(np.float32(0.5), rotation)).astype(np.int64).tolist()
-    box = list(zip(*(pdf[c].tolist() for c in ("x0", "y0", "x1", "y1")), strict=True))
-    font = [pdf[c].tolist() for c in ("font", "size", "weight")]
-    style = list(zip(*font, rotation.tolist(), strict=True))
-    keep = np.array(kept_glyphs(pdf["ch"].tolist(), box, list(zip(pdf["ch"].tolist(), *font, half_up, strict=True))), dtype=bool)
-    left = np.flatnonzero(keep).tolist()
-    pdf, rotation = pdf[keep].reset_index(drop=True), rotation[keep]
-    ch = pdf["ch"].tolist()
-    spans = np.array(span_numbers(ch, [box[i] for i in left], [style[i] for i in left]), dtype=np.int32)
-    starts = np.flatnonzero(np.append(True, spans[1:] != spans[:-1])) if len(ch) else np.zeros(0, int)
-    ends = np.append(starts[1:], len(ch))
-    corners = pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.float32)
-    around = np.concatenate([np.minimum.reduceat(corners[:, :2], starts), np.maximum.reduceat(corners[:, 2:], starts)], axis=1) if len(ch) else np.zeros((0, 4), np.float32)
-    lines = line_numbers([ch[b - 1] for b in ends], around, rotation[starts])
-    return pdf.assign(span_idx=spans, line_idx=lines[spans].astype(np.int32) if len(ch) else spans)
+def _within(page: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on each page of the runs that begin at ``starts``."""
+    number = np.cumsum(starts)
+    return (number - number[np.maximum.accumulate(np.where(_changes(page), np.arange(len(page)), 0))]).astype(np.int32)
+
+
+def _grouped(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole pages: the kept glyphs, their span and line numbers, and where spans begin."""
+    page = np.cumsum(_changes(np.asarray(table.column("doc_id")), np.asarray(table.column("page_idx"))))
+    ch, signs = _codes(table.column("ch"))
+    font = [_codes(table.column("font"))[0], *(np.asarray(table.column(c)) for c in ("size", "weight"))]
+    rotation, box = _floats(table, "rotation")[:, 0], _floats(table, "x0", "y0", "x1", "y1")
+    half_up = np.trunc(rotation * np.float32(1000) + np.copysign(np.float32(0.5), rotation)).astype(np.int64)
+    keep = kept_glyphs(page, _merged(ch, *font, half_up), np.array([c.isspace() for c in signs], dtype=bool)[ch], box)
+    table, page, ch, rotation, box = table.filter(pa.array(keep)), page[keep], ch[keep], rotation[keep], box[keep]
+    ends = np.array([c in _LINE_ENDS for c in signs], dtype=bool)[ch]
+    first = span_starts(page, _merged(*(f[keep] for f in font), rotation), ends, box)
+    at = np.flatnonzero(first)
+    around = np.concatenate([np.minimum.reduceat(box[:, :2], at), np.maximum.reduceat(box[:, 2:], at)], axis=1)
+    lines = _within(page[at], line_starts(page[at], ends[np.append(at[1:], len(page)) - 1], rotation[at], around))
+    return table, _within(page, first), np.repeat(lines, np.diff(np.append(at, len(page)))), at
 
 
 def group_glyphs(glyphs: DataFrame) -> DataFrame:
-    """The kept glyphs with span_idx and line_idx. A page's glyphs are one task's work; pages are spread."""
-    return glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]).groupBy("doc_id", "page_idx").applyInPandas(_page, f"{GLYPHS}, span_idx int, line_idx int")
+    """The kept glyphs with span_idx and line_idx."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _whole_pages(batches):
+            table, span, line, _ = _grouped(pages)
+            yield from table.append_column("span_idx", pa.array(span)).append_column("line_idx", pa.array(line)).combine_chunks().to_batches()
+
+    return _by_page(glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]), "char_idx").mapInArrow(run, f"{GLYPHS}, span_idx int, line_idx int")
+
+
+def glyph_spans(glyphs: DataFrame) -> DataFrame:
+    """``spans`` of ``group_glyphs`` in one pass: glyphs are dealt by page once and leave the task as spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _whole_pages(batches):
+            table, span, line, at = _grouped(pages)
+            ch, signs = _codes(table.column("ch"))
+            shown = np.array(signs, dtype=object)[ch].tolist()
+            text = ["".join(shown[a:b]) for a, b in zip(at, np.append(at[1:], len(shown)), strict=True)]
+            box = _floats(table, "x0", "y0", "x1", "y1")
+            corners = [f.reduceat(box[:, k], at) for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum))]
+            first = table.take(pa.array(at))
+            cells = [first.column("doc_id"), first.column("page_idx"), line[at], span[at], pa.array(text, pa.string()), *corners, *(first.column(c) for c in ("rotation", "font", "size", "weight"))]
+            names = ["doc_id", "page_idx", "line_idx", "span_idx", "text", "x0", "y0", "x1", "y1", "rotation", "font", "size", "weight"]
+            yield from pa.table([c if isinstance(c, (pa.ChunkedArray, pa.Array)) else pa.array(c) for c in cells], names).combine_chunks().to_batches()
+
+    schema = "doc_id long, page_idx int, line_idx int, span_idx int, text string, x0 float, y0 float, x1 float, y1 float, rotation float, font string, size int, weight int"
+    out = _by_page(glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]), "char_idx").mapInArrow(run, schema)
+    return out.select("doc_id", "page_idx", "line_idx", "span_idx", "text", g.raw_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("bbox"), "rotation", "font", "size", "weight")
 
 
 def spans(grouped: DataFrame) -> DataFrame:
@@ -148,16 +274,6 @@ def native_fill_pages(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.where("rotation = 0").select("doc_id", "page_idx").join(upright, ["doc_id", "page_idx"], "left_semi")
 
 
-def _belongs(c: Column, line: Column) -> Column:
-    """A glyph is in a line's box by its centre; closing signs may touch its right end, opening ones its left end."""
-    h = g.height(line)
-    level = (line["y0"] < c["cy"]) & (c["cy"] < line["y1"]) & (F.abs(c["cy"] - g.center_y(line)) < h * g.f32(SPAN_HEIGHT))
-    after, before = line["x0"] < c["cx"], c["cx"] < line["x1"]
-    stop = c["stop"] & after & ((line["x1"] - h) < c["x0"]) & (c["x0"] < line["x1"])
-    start = ~c["stop"] & c["start"] & before & (line["x0"] < c["x1"]) & (c["x1"] < (line["x0"] + h))
-    return level & ((after & before) | stop | start)
-
-
 def median(values: Column) -> Column:
     """Of an array of floats, the middle one or the mean of the two; 0 for none."""
 
@@ -170,47 +286,113 @@ def median(values: Column) -> Column:
     return t.let(F.array_sort(values), middle)
 
 
-def spaced(chars: Column) -> Column:
-    """Glyphs (ch, x0, x1) in order as text, with a blank in gaps above a quarter of their median width unless a side is one."""
-    limit = median(F.transform(chars, lambda c: F.greatest(c["x1"] - c["x0"], g.f32(0)))) * g.f32(SPACE)
+def _spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Row numbers of ranges: ``n`` of them from each ``start``."""
+    return np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
 
-    def joined(least: Column) -> Column:
-        def one(c: Column, i: Column) -> Column:
-            then = F.get(chars, i + 1)
-            gap = ((then["x0"] - c["x1"]) > least) & (c["ch"] != " ") & (then["ch"] != " ")
-            return F.when(gap, F.concat(c["ch"], F.lit(" "))).otherwise(c["ch"])
+def _belong(box: np.ndarray, line: np.ndarray, stop: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """A glyph is in a line's box by its centre; closing signs may touch its right end, opening ones its left end."""
+    half = np.float32(0.5)
+    cx, cy = (box[:, 0] + box[:, 2]) * half, (box[:, 1] + box[:, 3]) * half
+    x0, y0, x1, y1 = line.T
+    h = np.maximum(y1 - y0, np.float32(0))
+    level = (y0 < cy) & (cy < y1) & (np.abs(cy - (y0 + y1) * half) < h * np.float32(SPAN_HEIGHT))
+    after, before = x0 < cx, cx < x1
+    closes = stop & after & (x1 - h < box[:, 0]) & (box[:, 0] < x1)
+    opens = ~stop & start & before & (x0 < box[:, 2]) & (box[:, 2] < x0 + h)
+    return level & (after & before | closes | opens)
+
+
+def _blanks(segment: np.ndarray, at: np.ndarray, box: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """After which glyphs a blank is due: those of a segment (they begin at ``at``) whose gap to the next is above a quarter of the median width, unless a side is a blank."""
+    width = np.maximum(box[:, 2] - box[:, 0], np.float32(0))
+    order = np.lexsort((width, segment))
+    n = np.diff(np.append(at, len(segment)))
+    low, high = width[order[at + (n - 1) // 2]], width[order[at + n // 2]]
+    limit = np.where(n % 2 == 1, high, ((low + high).astype(np.float64) / 2).astype(np.float32)) * np.float32(SPACE)
+    out = np.zeros(len(segment), dtype=bool)
+    out[:-1] = (segment[1:] == segment[:-1]) & (box[1:, 0] - box[:-1, 2] > np.repeat(limit, n)[:-1]) & ~blank[1:] & ~blank[:-1]
+    return out
 
-        return t.write_out(F.array_join(F.transform(chars, one), ""))
 
-    return t.let(limit, joined)
+def _fill(table: pa.Table) -> tuple[list, ...]:
+    """Columns doc_id, page_idx, idx, text, n_chars of the regions (kind 0, idx in char_idx) of whole pages that their glyphs (kind 1) fill."""
+    doc, number, kind, idx = (np.asarray(table.column(c)) for c in ("doc_id", "page_idx", "kind", "char_idx"))
+    page = np.cumsum(_changes(doc, number))
+    box = _floats(table, "x0", "y0", "x1", "y1")
+    region, glyph = np.flatnonzero(kind == 0), np.flatnonzero(kind == 1)
+    if not len(region) or not len(glyph):
+        return ([],) * 5
+    half = np.float32(0.5)
+    # Lines: runs of glyphs, and the box around all of them.
+    first = np.flatnonzero(_changes(page[glyph], np.asarray(table.column("line_idx"))[glyph]))
+    size = np.diff(np.append(first, len(glyph)))
+    mine = box[glyph]
+    line = np.concatenate([np.minimum.reduceat(mine[:, :2], first), np.maximum.reduceat(mine[:, 2:], first)], axis=1)
+    middle = (line[:, 1] + line[:, 3]) * half
+    # Every line with the regions of its page that its middle lies in.
+    lo = np.searchsorted(page[region], page[glyph[first]], "left")
+    n = np.searchsorted(page[region], page[glyph[first]], "right") - lo
+    of_line, of_region = np.repeat(np.arange(len(first)), n), region[_spread(lo, n)]
+    met = (box[of_region, 1] <= middle[of_line]) & (middle[of_line] <= box[of_region, 3])
+    of_line, of_region = of_line[met], of_region[met]
+    # Their glyphs that are shown, upright and in the region and the line.
+    code, signs = _codes(table.column("ch"))
+    is_ = lambda f: np.array([c is not None and f(c) for c in signs], dtype=bool)[code]
+    stop, start = is_(lambda c: c in STOP_SIGNS), is_(lambda c: c in START_SIGNS)
+    shown = (np.abs(np.asarray(table.column("rotation"), dtype=np.float64)) < 1e-3) & ~is_(lambda c: c in "\r\n" and c != "")
+    pair = np.repeat(np.arange(len(of_line)), size[of_line])
+    row = glyph[_spread(first[of_line], size[of_line])]
+    ok = shown[row]
+    pair, row = pair[ok], row[ok]
+    area = box[of_region[pair]]
+    cx = (box[row, 0] + box[row, 2]) * half
+    ok = (stop[row] | start[row] | ((area[:, 0] < cx) & (cx < area[:, 2]))) & _belong(box[row], line[of_line[pair]], stop[row], start[row])
+    pair, row = pair[ok], row[ok]
+    if not len(pair):
+        return ([],) * 5
+    at = np.flatnonzero(_changes(pair))
+    due = _blanks(pair, at, box[row], is_(lambda c: c == " ")[row])
+    written = np.array([s or "" for s in signs] + [f"{s or ''} " for s in signs], dtype=object)[code[row] + len(signs) * due].tolist()
+    ligatures = [x for x in t.LIGATURES if any(x[0] in (s or "") for s in signs)]
+    found: dict[int, list[tuple]] = {}
+    for a, b in zip(at.tolist(), [*at[1:].tolist(), len(pair)], strict=True):
+        text = "".join(written[a:b])
+        for sign, letters in ligatures:
+            text = text.replace(sign, letters)
+        text = text.strip(_WHITE)
+        if text:
+            k = of_line[pair[a]]
+            found.setdefault(int(of_region[pair[a]]), []).append((middle[k], k, text, b - a))
+    out: tuple[list, ...] = ([], [], [], [], [])
+    for r, parts in sorted(found.items()):
+        text = " ".join(p[2] for p in sorted(parts)).strip(_WHITE)
+        x0, y0, x1, y1 = box[r]
+        if np.float32(len(text)) * max(y1 - y0, np.float32(0)) >= max(x1 - x0, np.float32(0)) * np.float32(SPARSE):
+            for column, value in zip(out, (int(doc[r]), int(number[r]), int(idx[r]), text, sum(p[3] for p in parts)), strict=True):
+                column.append(value)
+    return out
 
 
 def fill_regions(grouped: DataFrame, regions: DataFrame) -> DataFrame:
     """(doc_id, page_idx, idx, text, n_chars): the native text of each region (doc_id, page_idx, idx, bbox) that has enough of it.
 
     Lines meet a region by their centre's height (an interval join within the page); their upright glyphs by the x range or as punctuation, and by
-    ``_belongs``. Lines are put from top to bottom, joined by blanks. A text too sparse for its region's width isn't taken.
+    ``_belong``. Lines are put from top to bottom, joined by blanks. A text too sparse for its region's width isn't taken.
+    Regions and glyphs, narrow rows both, are dealt by page once; the join is made on the arrays of whole pages.
     """
-    line = g.raw_box(F.min("x0"), F.min("y0"), F.max("x1"), F.max("y1"))
-    half = g.f32(0.5)
-    # What the tests need of a glyph is worked out row by row, in generated code, before glyphs become arrays.
-    glyph = F.struct(
-        "char_idx", "ch", "x0", "x1", ((F.col("x0") + F.col("x1")) * half).alias("cx"), ((F.col("y0") + F.col("y1")) * half).alias("cy"), F.lit(STOP_SIGNS).contains(F.col("ch")).alias("stop"),
-        F.lit(START_SIGNS).contains(F.col("ch")).alias("start"),
-    )
-    shown = (F.abs("rotation") < 1e-3) & ~F.col("ch").isin("\r", "\n")
-    lines = grouped.groupBy("doc_id", "page_idx", "line_idx").agg(line.alias("line"), F.array_sort(F.collect_list(F.when(shown, glyph))).alias("c"))
-    met = regions.select("doc_id", "page_idx", "idx", "bbox").join(lines, ["doc_id", "page_idx"]).withColumn("cy", g.center_y(F.col("line")))
-    met = met.where((F.col("bbox.y0") <= F.col("cy")) & (F.col("cy") <= F.col("bbox.y1")))
-
-    def mine(c: Column) -> Column:
-        across = (F.col("bbox.x0") < c["cx"]) & (c["cx"] < F.col("bbox.x1"))
-        return (c["stop"] | c["start"] | across) & _belongs(c, F.col("line"))
-
-    seen = F.filter("c", mine)
-    texts = met.withColumn("v", seen).where(F.size("v") > 0).withColumn("text", t.trim(t.let(F.col("v"), spaced))).where("text <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("cy", "line_idx", "text", F.size("v").alias("n"))))
-    whole = texts.groupBy("doc_id", "page_idx", "idx").agg(F.first("bbox").alias("bbox"), ordered.alias("t"))
-    joined = whole.select("doc_id", "page_idx", "idx", "bbox", t.trim(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("text"), F.aggregate("t", F.lit(0), lambda s, x: s + x["n"]).alias("n_chars"))
-    dense = g.f32(F.char_length("text")) * g.height(F.col("bbox")) >= g.width(F.col("bbox")) * g.f32(SPARSE)
-    return joined.where(dense).drop("bbox")
+    corners = ("x0", "y0", "x1", "y1")
+    glyphs = grouped.select("doc_id", "page_idx", F.lit(1).alias("kind"), "line_idx", F.col("char_idx").cast("int").alias("char_idx"), "ch", *corners, "rotation")
+    none = F.lit(None).cast("string").alias("ch")
+    asked = regions.where("bbox is not null").select("doc_id", "page_idx", F.lit(0).alias("kind"), F.lit(0).alias("line_idx"), F.col("idx").cast("int").alias("char_idx"), none, *[F.col(f"bbox.{c}").alias(c) for c in corners], g.f32(0).alias("rotation"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in _whole_pages(batches):
+            doc, page, idx, text, n = _fill(pages)
+            cells = [pa.array(doc, pa.int64()), pa.array(page, pa.int32()), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "page_idx", "idx", "text", "n_chars"])
+
+    rows = _by_page(glyphs.unionByName(asked), "kind", "line_idx", "char_idx")
+    filled = rows.mapInArrow(run, "doc_id long, page_idx int, idx int, text string, n_chars int")
+    return filled.withColumn("idx", F.col("idx").cast(regions.schema["idx"].dataType))

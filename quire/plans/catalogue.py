@@ -446,7 +446,7 @@ fold AS (SELECT doc_id, page_idx, span_idx, 0 AS line_idx, bottom AS reach FROM
 SELECT doc_id, page_idx, line_idx, span_idx::INTEGER AS span_idx, text, font, x0::INTEGER AS x0, bottom::INTEGER AS y1 FROM span JOIN fold USING (doc_id, page_idx, span_idx)""")
 def glyph_spans_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the pages' glyphs after duplicates are taken out, with their lines."""
-    found = native_text.spans(native_text.group_glyphs(v.glyphs(spark, sf_dir)))
+    found = native_text.glyph_spans(v.glyphs(spark, sf_dir))
     return found.select("doc_id", "page_idx", "line_idx", "span_idx", "text", "font", F.col("bbox.x0").cast("int").alias("x0"), F.col("bbox.y1").cast("int").alias("y1"))
 
 

@@ -146,7 +146,10 @@ def filled(spark, rows, *boxes):
 
 def test_glyph_lines(spark):
     def spans(rows):
-        return [(r["line_idx"], r["text"]) for r in native_text.spans(native_text.group_glyphs(glyphs(spark, rows))).orderBy("span_idx").collect()]
+        df = glyphs(spark, rows)
+        one, two = native_text.glyph_spans(df).orderBy("span_idx").collect(), native_text.spans(native_text.group_glyphs(df)).orderBy("span_idx").collect()
+        assert one == two
+        return [(r["line_idx"], r["text"]) for r in one]
 
     assert spans(word("Hello")) == [(0, "Hello")]
     assert spans(word("AB\n") + word("CD", y=20)) == [(0, "AB\n"), (1, "CD")]
