@@ -46,6 +46,13 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % modulus
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of a text's UTF-8 bytes; null for null."""
+    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    turn = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {turn}), 4294967295::BIGINT)"
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null becomes empty."""
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]

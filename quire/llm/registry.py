@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op4_licenses": licenses.scan_sql(), "op9_rules": rules.judged_sql()}
+SQL: dict[str, str] = {"op4_licenses": licenses.scan_sql(), "op6_urls": urls.judge_sql(), "op9_rules": rules.judged_sql()}

@@ -96,26 +96,40 @@ def brute_model(urls):
     return n
 
 
-def test_model_matches_brute_force(spark):
-    train = [b"http://a.com/abcabc", b"http://b.com/abd", b"http://b.com/abd"]
-    df = spark.createDataFrame([(u.decode(), "allow") for u in train], "url string, said string").repartition(2)
-    tables = U._count(df)["allow"].tables()
-    n = brute_model(train)
+def brute_ratio(n, url):
+    """Of one class's counts: the log-likelihood of a URL."""
     total, kinds = Counter(), Counter()
     for (c, _), v in n.items():
         total[c] += v
         kinds[c] += 1
-    url = b"http://c.com/abcd"
-    pad, want = bytes([2] * U.ORDER) + url, 0.0
+    pad, out = bytes([2] * U.ORDER) + url, 0.0
     for i in range(U.ORDER, len(pad)):
         p = 1 / 256
         for k in range(U.ORDER + 1):
             c = pad[i - k : i]
             if total[c] >= U.SEEN:
                 p = (n[c, pad[i]] + kinds[c] * p) / (total[c] + kinds[c])
-        want += log(p)
-    _, symbol, slots = U._positions([url])
-    assert abs(U.log_likelihood(tables, symbol, slots).sum() - want) < 1e-3
+        out += log(p)
+    return out
+
+
+@pytest.mark.parametrize("grams,hot", [(1 << 18, 1 << 16), (50, 20), (1, 0)])
+def test_ratios_match_brute_force(spark, monkeypatch, grams, hot):
+    """Counts by the whole context, also where few grams are judged at once and where few or none of their ratios are sent."""
+    monkeypatch.setattr(U, "GRAMS", grams)
+    monkeypatch.setattr(U, "HOT_GRAMS", hot)
+    r = np.random.default_rng(6)
+    train = [(bytes(r.integers(97, 97 + k, 30).astype(np.uint8)).decode(), c) for k, c in ((26, "allow"), (4, "block")) for _ in range(60)]
+    train += [("http://ü.com/abd", "allow"), ("", "block")]
+    rest = [("http://c.com/abcd", None), ("\x00\x02é", None), ("", None), ("http://c.com/abcd", None)]
+    base = spark.createDataFrame(train + rest, "url string, said string").repartition(3)
+    counts = U.count(base)
+    got = U._with_ratio(base, U.ratios(counts, U.short_contexts(counts))).collect()
+    allow, block = (brute_model([u.encode() for u, c in train if c == k]) for k in ("allow", "block"))
+    assert len(got) == len(train) + len(rest)
+    for row in got:
+        url = row["url"].encode()
+        assert abs(row["ratio"] - (brute_ratio(allow, url) - brute_ratio(block, url)) / max(1, len(url))) < 2e-6
 
 
 def test_model_separates_unseen_urls(spark):
@@ -137,18 +151,3 @@ def test_real_pages(spark):
     rows = U.judge(pages).collect()
     assert len(rows) == pages.count()
     assert {x["verdict"] for x in rows} == {"allow", "block"}
-
-
-def test_contexts_do_not_share_counts(spark):
-    r = np.random.default_rng(6)
-    train = [bytes(r.integers(33, 127, 30).astype(np.uint8)) for _ in range(400)]
-    df = spark.createDataFrame([(u.decode(), "allow") for u in train], "url string, said string").repartition(3)
-    cells, counts, contexts, total, kinds = U._count(df)["allow"].tables()
-    n = brute_model(train)
-    assert len(contexts) == len({c for c, _ in n}) > 20_000 and len(cells) == len(n)
-    total_of = Counter()
-    for (c, _), v in n.items():
-        total_of[c] += v
-    code = lambda c: (len(c) << 32) + int.from_bytes(c[::-1], "big")
-    assert dict(zip(contexts.tolist(), total.tolist(), strict=True)) == {code(c): v for c, v in total_of.items()}
-    assert dict(zip(cells.tolist(), counts.tolist(), strict=True)) == {code(c) << 8 | b: v for (c, b), v in n.items()}
