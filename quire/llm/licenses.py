@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import cut
+
 #: Characters that end a word: ASCII but digits and letters. A-Z count as the letters they are lower-cased to.
 _OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD, GAP = f"[^{_OTHER}]", f"[{_OTHER}]+"
@@ -29,13 +31,17 @@ TEMPLATES = (
 )
 #: Share of a template's distinct tokens that a block must hold.
 CONTAINMENT = 0.9
-#: Most distinct tokens that all templates may have: what frequencies are brought to the driver for.
-VOCABULARY = 10_000
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens(template: str) -> list[str]:
-    """The distinct lower-cased words of a template."""
-    return sorted(set(re.findall(f"{WORD}+", template.lower())))
+    """The distinct words of a template, A-Z lower-cased."""
+    return sorted(set(re.findall(f"{WORD}+", template.translate(str.maketrans(_UPPER, _LOWER)))))
+
+
+def _words(text: Column) -> Column:
+    """Words of a text, A-Z lower-cased; the first and the last are empty where the text begins or ends with other signs."""
+    return F.split(F.translate(text, _UPPER, _LOWER), GAP)
 
 
 def _phrase(words: str) -> str:
@@ -49,21 +55,16 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _whole(docs: DataFrame) -> DataFrame:
-    """One row per document: its key, its text and the distinct lower-cased words of the text."""
-    return docs.select("_id", "_hash", "_size", "_text", F.array_distinct(F.split(F.lower("_text"), GAP)).alias("_words"))
-
-
 def _blocks(docs: DataFrame, longest: int, may_hold) -> DataFrame:
     """One row per text block that ``may_hold`` (a condition on an array of words) lets through: the document's key and the block's
-    distinct lower-cased words. A block is a line, or ``longest`` consecutive words of a text with several lines, over line ends.
+    distinct words. A block is a line, or ``longest`` consecutive words of a text with several lines, over line ends.
 
     Such stretches are cut from overlapping spans of twice the length, so that few are made where no span holds a template.
     """
-    words = F.split(F.lower("_text"), GAP)
+    words = _words(F.col("_text"))
     span = lambda i: F.struct(F.lit(True).alias("cuts"), F.slice(words, i, 2 * longest).alias("w"))
     spans = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), span)
-    line = lambda x: F.struct(F.lit(False).alias("cuts"), F.split(F.lower(x), GAP).alias("w"))
+    line = lambda x: F.struct(F.lit(False).alias("cuts"), _words(x).alias("w"))
     lines = F.transform(F.split("_text", "\n"), line)
     parts = docs.select("_id", "_hash", "_size", F.explode(F.when(F.instr("_text", "\n") > 0, F.concat(lines, spans)).otherwise(lines)).alias("_part"))
     parts = parts.select("_id", "_hash", "_size", "_part.cuts", F.col("_part.w").alias("w")).where(may_hold(F.col("w")))
@@ -78,17 +79,37 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text).alias("_hash"), F.length(text).alias("_size"), text.alias("_text"))
 
 
-def token_order(texts: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by the number of texts that hold a token, rarest first (ties by the token). One row per token reaches the driver."""
-    if len(vocabulary) > VOCABULARY:
-        raise ValueError(f"the templates have over {VOCABULARY} tokens")
-    held = texts.select(F.explode(F.array_intersect("_words", F.array(*map(F.lit, vocabulary)))).alias("t"))
+def _sets(templates, containment: float) -> list[tuple[str, list[str], int]]:
+    """Label, tokens and the tokens that a block must hold, of each template."""
+    return [(label, tokens(t), math.ceil(containment * len(tokens(t)) - 1e-9)) for label, t in templates]
+
+
+def profiled(keyed: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """``keyed`` with n_words, _own (the templates' tokens that the text holds) and the text only where it holds enough tokens of a template in all.
+
+    A text is cut into words once, here; every later step works on what this leaves.
+    """
+    sets = _sets(templates, containment)
+    vocabulary = sorted({t for _, s, _ in sets for t in s})
+    split = keyed.withColumn("_w", _words(F.col("_text")))
+    ends = (F.get("_w", F.lit(0)) == "").cast("long") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("long")
+    held = split.withColumn("n_words", F.size("_w") - ends).withColumn("_own", F.array_intersect(F.array(*map(F.lit, vocabulary)), "_w")).drop("_w")
+    may = F.lit(False)
+    for _, s, need in sets:
+        may |= F.size(F.array_intersect(F.array(*map(F.lit, s)), "_own")) >= need
+    may = F.when(F.size("_own") >= min((need for *_, need in sets), default=1), may).otherwise(F.lit(False))
+    return held.withColumn("_may", F.when(may, F.col("_text")))
+
+
+def token_order(profile: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary by the number of texts that hold a token, rarest first (ties by the token). One row per token of the templates reaches the driver."""
+    held = profile.select(F.explode("_own").alias("t"))
     count = {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda t: (count.get(t, 0), t))
 
 
-def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(_id, _hash, _size, label, score): every document and template label with a block that holds at least
+def similarity_join(profile: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+    """(_id, _hash, _size, label, score): every document (a row of ``profiled``) and template label with a block that holds at least
     ``containment`` of a template's tokens, and the largest share held.
 
     Blocks are lines and stretches over line ends as long as the longest template and 1 / ``containment`` of it. Only documents that hold
@@ -97,29 +118,25 @@ def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES,
     first n - o + 1 (prefix filter), have at least o tokens of the vocabulary (length filter), and from the first shared token
     on have o - 1 more on both sides (positional filter). What is left is counted exactly.
     """
-    sets = [(label, tokens(t)) for label, t in templates]
-    vocabulary = sorted({t for _, s in sets for t in s})
-    whole = _whole(keyed)
-    order = token_order(whole, vocabulary)
+    sets = _sets(templates, containment)
+    order = token_order(profile, sorted({t for _, s, _ in sets for t in s}))
     rank = {t: k for k, t in enumerate(order)}
     prefixes = []
-    for label, s in sets:
+    for label, s, need in sets:
         s = sorted(s, key=rank.get)
-        need = math.ceil(containment * len(s) - 1e-9)
         prefixes += [(t, i, need, len(s), label, s) for i, t in enumerate(s[: len(s) - need + 1])]
     first = sorted({p[0] for p in prefixes})
-    # As many rows as the templates have prefix tokens: a bounded literal table.
-    table = spark.createDataFrame(prefixes, "t string, i int, need int, n int, label string, tokens array<string>")
-    longest = math.ceil(max((len(re.findall(f"{WORD}+", t)) for _, t in templates), default=1) / containment)
-    needs = [(math.ceil(containment * len(s) - 1e-9), s) for _, s in sets]
+    # As many rows as the templates have prefix tokens: a literal table as large as what the caller holds.
+    table = profile.sparkSession.createDataFrame(prefixes, "t string, i int, need int, n int, label string, tokens array<string>")
+    longest = _longest(templates, containment)
 
     def may_hold(words: Column) -> Column:
         enough = F.lit(False)
-        for need, s in needs:
+        for _, s, need in sets:
             enough |= F.size(F.array_intersect(F.array(*map(F.lit, s)), words)) >= need
         return F.arrays_overlap(words, F.array(*map(F.lit, first))) & enough
 
-    candidates = _blocks(whole.where(may_hold(F.col("_words"))), longest, may_hold)
+    candidates = _blocks(profile.where("_may is not null").select("_id", "_hash", "_size", F.col("_may").alias("_text")), longest, may_hold)
     # array_intersect keeps the order of its first argument: the block's tokens, rarest first.
     known = candidates.withColumn("_own", F.array_intersect(F.array(*map(F.lit, order)), "_words"))
     probes = known.select("_id", "_hash", "_size", "_own", F.posexplode("_own").alias("j", "t"))
@@ -130,21 +147,32 @@ def similarity_join(spark: SparkSession, keyed: DataFrame, templates=TEMPLATES,
     return met.where(both >= F.col("need")).groupBy("_id", "_hash", "_size", "label").agg(F.max(both / F.col("n")).alias("score"))
 
 
+def _longest(templates, containment: float) -> int:
+    """Words of a stretch over line ends."""
+    return math.ceil(max((len(re.findall(f"{WORD}+", t)) for _, t in templates), default=1) / containment)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``score`` is the largest share of a template held by a block that reaches the threshold, 1 where a base phrase stands, else 0.
     A null or empty text has no words, no labels and score 0. Null ids and repeated rows are carried as they are. An empty table gives an empty result. Other columns are ignored.
     """
-    keyed = _keyed(docs, id_col, text_col)
     text, has = F.col("_text"), F.col("n_base") > 0
     words_before = lambda lazy: F.when(has, _count(F.regexp_extract(text, f"(?is)^(.*{lazy}){_ANY}", 1), f"{WORD}+"))
-    base = F.array(*[F.when(F.col("n_base") > 0, F.when(text.rlike(rf"(?i)(?<!{WORD}){_phrase(p)}(?!{WORD})"), F.lit(label))) for p, label in PHRASES])
-    based = keyed.withColumn("n_words", _count(text, f"{WORD}+")).withColumn("n_base", _count(text, f"(?i){_ANY}"))
-    rows = based.select(
-        "_id", "_hash", "_size", "n_words", "n_base", words_before("?").alias("first_word"), words_before("").alias("last_word"), F.array_sort(F.array_distinct(F.array_compact(base))).alias("_base")
-    )
-    found = similarity_join(docs.sparkSession, keyed, templates, containment)
+    base = F.array(*[F.when(has, F.when(text.rlike(rf"(?i)(?<!{WORD}){_phrase(p)}(?!{WORD})"), F.lit(label))) for p, label in PHRASES])
+    # A word that all base phrases share: the pattern with its looks around is tried only on texts with it.
+    shared = set.intersection(*(set(p.split()) for p, _ in PHRASES)).pop()
+    n_base = F.when(text.rlike(f"(?i){shared}"), _count(text, f"(?i){_ANY}")).otherwise(F.lit(0).cast("long"))
+    profile = profiled(_keyed(docs, id_col, text_col), templates, containment).withColumn("n_base", n_base)
+    profile = cut(
+        profile.select(
+            "_id", "_hash", "_size", F.col("n_words").cast("long").alias("n_words"), "n_base", words_before("?").alias("first_word"), words_before("").alias("last_word"),
+            F.array_sort(F.array_distinct(F.array_compact(base))).alias("_base"), "_own", "_may",
+        )
+    )
+    rows = profile.drop("_own", "_may")
+    found = similarity_join(profile, templates, containment)
     by_doc = found.groupBy("_id", "_hash", "_size").agg(F.collect_set("label").alias("_labels"), F.max("score").alias("_score"))
     names = [F.col(c).alias(f"{c}_m") for c in ("_id", "_hash", "_size")]
     by_doc = by_doc.select(*names, "_labels", "_score")
@@ -160,20 +188,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 def scan_sql(templates=TEMPLATES, containment: float = CONTAINMENT) -> str:
     """DuckDB SQL for ``scan`` over the view documents."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    lower = f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')"
+    longest = _longest(templates, containment)
     at = []
     for phrase, label in PHRASES:
         hit = " AND ".join(f"w[i + {k}] = '{p}'" if k else f"w[i] = '{p}'" for k, p in enumerate(phrase.split()))
         at.append((f"list_filter(range(1, len(w) + 1), lambda i: {hit})", label))
-    shares = []
-    for label, t in templates:
-        s = tokens(t)
+    shares, enough = [], []
+    for label, s, need in _sets(templates, containment):
         names = ", ".join(f"'{x}'" for x in s)
-        need = math.ceil(containment * len(s) - 1e-9)
-        shares.append(f"{{'label': '{label}', 'n': {len(s)}, 'need': {need}, 'held': list_max(list_transform(lines, lambda l: len(list_intersect(l, [{names}]))))}}")
+        enough.append(f"len(list_intersect(w, [{names}])) >= {need}")
+        shares.append(f"{{'label': '{label}', 'n': {len(s)}, 'need': {need}, 'held': list_max(list_transform(blocks, lambda l: len(list_intersect(l, [{names}]))))}}")
+    stretches = f"CASE WHEN contains(t, chr(10)) THEN list_transform(range(1, greatest(1, len(w) - {longest} + 1) + 1), lambda i: w[i : i + {longest} - 1]) ELSE [] END"
     return f"""
 WITH d AS (SELECT doc_id, {lower} AS t FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(t, '{word}') AS w, list_transform(string_split(t, chr(10)), lambda l: list_distinct(regexp_extract_all(l, '{word}'))) AS lines FROM d),
+v AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
+w AS (SELECT doc_id, w, CASE WHEN {" OR ".join(enough) or "false"} THEN list_concat(list_transform(string_split(t, chr(10)), lambda l: regexp_extract_all(l, '{word}')), {stretches}) ELSE [] END AS blocks FROM v),
 p AS (SELECT doc_id, len(w) AS n_words, {", ".join(f"{x} AS at_{label}" for x, label in at)},
   list_filter([{", ".join(shares)}], lambda s: s.held >= s.need) AS met FROM w),
 q AS (SELECT *, list_concat(list_concat(at_mit, at_apache), at_gpl) AS places,

@@ -33,6 +33,8 @@ TEXTS = [
     (1, None), (2, ""), (3, "MIT  License; the mit-license. mitlicense amit license"), (4, "General\nPublic\tLicense Apache license"),
     (5, "a b c a b c a b c\nx\nx\n\nx \n###"), (5, "a b c a b c a b c\nx\nx\n\nx \n###"), (None, "Released under the MIT License."), (7, "EIN ÜÖ 5 é1 " * 30),
     (8, "w w w w w"), (9, "x y"), (10, "licensed under cc by-nc 4.0\nnothing"), (11, "under mit the license released"), (12, "😀mit license"), (13, "mit license😀"),
+    (14, "x\n// Permission is hereby granted, free of charge,\n// to any person obtaining a copy of this\n// software and associated documentation files\n" + "z " * 60),
+    (15, "Released\nunder\nthe MIT\nLicense"), (16, "\u212Apache license. M\u0130T LICENSE \u0130\n released under the m\u0131t license"), (17, " mit license "), (18, "."), (19, "a."), (20, ".a"),
 ]
 
 
@@ -64,7 +66,7 @@ def test_similarity_join_is_exact(spark):
                 s = set(licenses.tokens(text))
                 if len(have & s) >= t * len(s) - 1e-9:
                     want.add((i, label, len(have & s) / len(s)))
-        got = licenses.similarity_join(spark, licenses._keyed(df, "doc_id", "text"), templates, t)
+        got = licenses.similarity_join(licenses.profiled(licenses._keyed(df, "doc_id", "text"), templates, t), templates, t)
         assert {(r["_id"], r["label"], r["score"]) for r in got.collect()} == want
 
 
