@@ -48,7 +48,7 @@ def fold(id_col: Column, modulus: int) -> Column:
 
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the CRC-32 of a text's UTF-8 bytes; null for null."""
-    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
     turn = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, _: xor(v >> 1, 3988292384 * (v & 1)))"
     return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: {turn}), 4294967295::BIGINT)"
 
@@ -94,6 +94,13 @@ def cell(columns: list[str]) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % CELLS).cast("int")
 
 
+def numbered_sql(group: list[str], order: list[str]) -> str:
+    """DuckDB SQL for the number that ``numbered`` gives."""
+    text = " || ' ' || ".join(f"coalesce({c}::VARCHAR, '')" for c in order)
+    by = ", ".join(f"{c} NULLS FIRST" for c in order)
+    return f"row_number() OVER (PARTITION BY {', '.join(group)} ORDER BY ('0x' || substr(md5({text}), 1, 8))::BIGINT % {CELLS}, {by}) - 1"
+
+
 def skew_join(rows: DataFrame, values: DataFrame, key: str, n: str, total: int, how: str = "inner", light: int = 0) -> DataFrame:
     """``rows`` joined with ``values`` (one row per key, with the number ``n`` of ``rows`` it meets) on ``key``, inner or left.
 

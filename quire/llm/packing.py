@@ -8,10 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import cut, numbered
+from quire.llm.common import cut, numbered, numbered_sql
 
 #: Word runs, or single other signs, as regular-expression tokens.
-TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]"
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]"
 
 
 def n_tokens(text: Column) -> Column:
@@ -96,6 +96,28 @@ def pack(
     )
 
 
+def pack_sql(max_len: int = 2048, buckets: int = 16, budget: int = 65_536) -> str:
+    """DuckDB SQL for ``pack`` over the view documents: the dynamic program is a query for each number of buckets over all pairs of lengths."""
+    levels = ["level1 AS (SELECT l.j, [l.n * l.count - l.mass, 0]::DOUBLE[] AS best FROM lengths l)"]
+    for k in range(2, buckets + 1):
+        cost = "i.best[1] + l.n * (l.count - p.count) - (l.mass - p.mass)"
+        levels.append(f"level{k} AS (SELECT l.j, min([{cost}, p.j]::DOUBLE[]) AS best FROM lengths l JOIN lengths p ON p.j < l.j JOIN level{k - 1} i ON i.j = p.j GROUP BY l.j)")
+    every = " UNION ALL ".join(f"SELECT {k} AS k, j, best[1] AS pad, best[2]::BIGINT AS step FROM level{k}" for k in range(1, buckets + 1))
+    return rf"""
+WITH RECURSIVE counted AS (SELECT doc_id, (len(regexp_extract_all(coalesce(text, ''), '{TOKEN}')) + 1)::BIGINT AS _all FROM documents),
+pieces AS (SELECT doc_id, _all, unnest(range((_all - 1) // {max_len} + 1)) AS piece FROM counted),
+sized AS (SELECT *, least(_all - piece * {max_len}, {max_len}) AS n_tokens FROM pieces),
+lengths AS (SELECT row_number() OVER (ORDER BY n) AS j, n::DOUBLE AS n, (sum(c) OVER (ORDER BY n))::DOUBLE AS count, (sum(c * n) OVER (ORDER BY n))::DOUBLE AS mass FROM (SELECT n_tokens AS n, count(*) AS c FROM sized GROUP BY n)),
+{", ".join(levels)},
+every AS ({every}),
+chosen AS (SELECT k, j, step FROM every WHERE j = (SELECT max(j) FROM lengths) ORDER BY pad, k LIMIT 1),
+back AS (SELECT k, j, step FROM chosen UNION ALL SELECT e.k, e.j, e.step FROM back b JOIN every e ON e.k = b.k - 1 AND e.j = b.step),
+bounds AS (SELECT list(n::BIGINT ORDER BY n) AS bounds FROM back JOIN lengths USING (j)),
+placed AS (SELECT doc_id, piece, ((_all + {max_len - 1}) // {max_len})::BIGINT AS n_pieces, (piece * {max_len})::BIGINT AS start, n_tokens, len(list_filter(bounds, lambda b: b < n_tokens))::INTEGER AS bucket, bounds, _all FROM sized, bounds),
+ranked AS (SELECT *, bounds[bucket + 1] AS bucket_len, {numbered_sql(["bucket"], ["doc_id", "piece", "_all"])} AS rank FROM placed)
+SELECT doc_id, piece, n_pieces, start, n_tokens, bucket, bucket_len, (rank // greatest(1, {budget} // bucket_len))::BIGINT AS batch, (rank % greatest(1, {budget} // bucket_len))::BIGINT AS place FROM ranked"""
+
+
 def padding(packed: DataFrame) -> DataFrame:
     """Per bucket: bucket, bucket_len, pieces, batches, tokens, padded (tokens with padding)."""
     by_batch = packed.groupBy("bucket", "bucket_len", "batch").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
