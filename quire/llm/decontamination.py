@@ -275,3 +275,28 @@ def decontaminate(docs: DataFrame, tests: DataFrame, rule: Rule = Rule(), text_c
 
     found = _on_each_block(tests.select(F.col("item_id").cast("long"), F.col("text")), rule, part, lambda df: df.distinct()).distinct()
     return docs.join(found, (name[0] == found["_hash"]) & (name[1] == found["_size"]), "left_anti")
+
+
+def overlaps_sql(rule: Rule = Rule()) -> str:
+    """DuckDB SQL for ``overlaps`` over the views documents and benchmark: seeds as joined words, then the rule over all stretches of their diagonals."""
+    share = Fraction(rule.identity).limit_denominator(10_000)
+    seeds = []
+    for mask in MASKS:
+        key = " || ' ' || ".join(f"w[i + {o}]" for o, c in enumerate(mask) if c == "1")
+        side = lambda t, key=key, n=len(mask): f"(SELECT r, i, {key} AS h FROM (SELECT r, w, unnest(range(1, len(w) - {n} + 2)) AS i FROM {t}))"
+        seeds.append(f"SELECT d.r, t.r AS q, d.i - t.i AS diagonal FROM {side('d')} d JOIN {side('t')} t USING (h)")
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {words} AS w FROM documents),
+t AS (SELECT item_id, row_number() OVER () AS r, {words} AS w FROM benchmark),
+hit AS (SELECT DISTINCT r, q, diagonal FROM ({" UNION ".join(seeds)})),
+pair AS (SELECT row_number() OVER () AS k, h.*, greatest({rule.least}, least({rule.words}, len(t.w))) AS need, greatest(0, -diagonal) AS a, least(len(t.w), len(d.w) - diagonal) AS b, d.w AS dw, t.w AS tw
+  FROM hit h JOIN d ON d.r = h.r JOIN t ON t.r = h.q),
+place AS (SELECT k, need, p, (tw[p + 1] = dw[p + diagonal + 1])::INTEGER AS e FROM (SELECT *, unnest(range(a, b)) AS p FROM pair)),
+balance AS (SELECT k, need, p + 1 AS p, sum(CASE WHEN e = 1 THEN {share.denominator - share.numerator} ELSE {-share.numerator} END) OVER (PARTITION BY k ORDER BY p) AS v FROM place
+  UNION ALL SELECT k, need, a, 0 FROM pair),
+stretch AS (SELECT k, x.p AS s, max(y.p) AS e FROM balance x JOIN balance y USING (k) WHERE y.p >= x.p + x.need AND y.v >= x.v GROUP BY k, x.p),
+inside AS (SELECT DISTINCT k, unnest(range(s, e)) AS p FROM stretch),
+run AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS g FROM inside),
+found AS (SELECT k, min(run.p) AS s, count(*) AS n, sum(e) AS same FROM run JOIN place USING (k, p) GROUP BY k, g)
+SELECT doc_id, item_id, s + diagonal AS doc_word, s AS item_word, n AS n_words, same::BIGINT AS n_equal FROM found JOIN pair USING (k) JOIN d ON d.r = pair.r JOIN t ON t.r = pair.q"""

@@ -71,4 +71,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op3_packing": packing.pack_sql(), "op10_sharding": sharding.assign_sql(SHARDS), "op4_licenses": licenses.scan_sql(), "op6_urls": urls.judge_sql(), "op9_rules": rules.judged_sql()}
+SQL: dict[str, str] = {"op1_decontamination": decontamination.overlaps_sql(), "op3_packing": packing.pack_sql(), "op10_sharding": sharding.assign_sql(SHARDS), "op4_licenses": licenses.scan_sql(), "op6_urls": urls.judge_sql(), "op9_rules": rules.judged_sql()}

@@ -24,7 +24,7 @@ def same(df, con, sql):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     same(registry.QUERIES[name](spark, sf_dir), con, registry.SQL[name])
 
