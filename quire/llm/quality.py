@@ -16,8 +16,10 @@ from quire.llm.common import as_bytes, fold
 FOLDS = 5
 #: Rows with score at or above are predicted 1.
 THRESHOLD = 0.3
-#: Most trusted positives, and most unlabelled texts, that one fit takes (those with the smallest hash of the id).
+#: Most trusted positives, and most texts taken without their label, that one fit takes from the labelled rows (those with the smallest hash of the id).
 SAMPLE = 12_000
+#: The estimated prior is kept this far from 0 and 1.
+LEAST_PRIOR = 0.02
 #: Hashed byte-pair features besides the measured ones.
 PAIRS = 256
 _SYMBOLS = b"#*$%&|<>{}[]\\^~=_+@/"
@@ -110,38 +112,58 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean.astype(np.float64), scale.astype(np.float64), w, float(b), prior)
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among unlabelled texts, from features of both; labels of the unlabelled ones aren't looked at.
+
+    A classifier of positives against unlabelled texts is fitted on each half of both and scores the other half. Above any score, the unlabelled texts'
+    share divided by the positives' is at least the prior, and equal to it where only positives score so high. The score is taken at which that
+    quotient with a confidence bound (of probability 1 - ``doubt``) is smallest.
+    """
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 0.5
+    half = [np.arange(len(x)) % 2 == 0 for x in (positive, unlabelled)]
+    scores: tuple[list, list] = ([], [])
+    for side in (True, False):
+        model = fit(positive[half[0] == side], unlabelled[half[1] == side], 0.5)
+        for k, x in enumerate((positive, unlabelled)):
+            scores[k].append(model.scores(x[half[k] != side]))
+    p, u = (np.sort(np.concatenate(x)) for x in scores)
+    above = 1 - np.arange(len(p)) / len(p)
+    those = 1 - np.searchsorted(u, p, side="left") / len(u)
+    width = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((those + (1 + slack) * width) / above)
+    return float(np.clip(those[best] / above[best], LEAST_PRIOR, 1 - LEAST_PRIOR))
+
+
 def _matrix(df: DataFrame) -> np.ndarray:
-    """Features of a bounded number of texts."""
+    """Features of a bounded number of texts (doc_id, text), in the order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t).tobytes() for t in as_bytes(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["f"])
+            rows = [features(t).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "f"])
 
-    rows = [np.frombuffer(r["f"], dtype=np.float32) for r in df.select("text").mapInArrow(run, "f binary").collect()]
+    rows = [np.frombuffer(r["f"], dtype=np.float32) for r in sorted(df.select("doc_id", "text").mapInArrow(run, "doc_id long, f binary").collect())]
     return np.stack(rows) if rows else np.zeros((0, N_FEATURES), dtype=np.float32)
 
 
 def _sample(ids: DataFrame, n: int) -> DataFrame:
-    return ids.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from trusted positives (label 1) and unlabelled texts of the folds that are not held out.
+    """A model from trusted positives (label 1) and texts whose label isn't looked at, of the folds that are not held out.
 
-    Both are bounded samples of ``sample`` rows. The class prior is the share of label 1 among those folds' labelled rows
-    (counted over all of them); negatives' texts are used only as part of the unlabelled ones. Rows with a null id, label or text teach nothing.
+    Both are bounded samples of ``sample`` ids of the labelled rows; the class prior is estimated from the two. An id that several rows carry has the least of
+    their texts, an id with several labels is trusted if one of them is 1. Rows with a null id, label or text teach nothing. Without any the score is the middle everywhere.
     """
     learn = fold(F.col("doc_id"), FOLDS) != 0
     known = labels.where(learn & F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    counts = known.agg(F.count("*").alias("n"), F.sum((F.col("quality") == 1).cast("long")).alias("p")).first()
-    prior = min(0.98, max(0.02, (counts["p"] or 0) / counts["n"])) if counts["n"] else 0.5
     texts = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    trusted = _sample(known.where("quality = 1").distinct(), sample)
-    rest = _sample(texts, sample).distinct()
+    chosen = (_sample(known.where("quality = 1"), sample), _sample(known, sample))
     # One text for an id, however many rows carry it: no more than ``sample`` rows reach the driver.
-    positive, unlabelled = (_matrix(texts.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])) for ids in (trusted, rest))
-    return fit(positive, unlabelled, prior)
+    positive, unlabelled = (_matrix(texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))) for ids in chosen)
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def _scored(batch: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
@@ -166,7 +188,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
 
 def accept(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model predicts 1."""
+    """The rows of ``docs``, all columns, whatever they are named, that the model predicts 1: each row by its text alone, a null one as an empty one, whatever its id;
+    repeated rows stay or go together; an empty table stays empty."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -42,6 +42,71 @@ def test_held_out_rows_teach_nothing(tables, model):
     assert np.allclose(other.weight, model.weight, atol=1e-6) and other.prior == model.prior
 
 
+def brute_risk(positive, unlabelled, prior, w, b):
+    """The two parts of the risk as sums over the texts, for features scaled as the fit scales them."""
+    loss = lambda z, y: np.log1p(np.exp(-y * z))
+    of = lambda xs, y: sum(loss(float(x @ w) + b, y) for x in xs) / len(xs)
+    return prior * of(positive, 1), of(unlabelled, -1) - prior * of(positive, -1)
+
+
+@pytest.mark.parametrize("prior", [0.15, 0.3])
+def test_risk_matches_brute_force(prior):
+    """Where the bracket stays above zero, the fit ends where the brute-force risk plus ridge is lower than around it, and one step from zero goes down its numeric slope."""
+    r = np.random.default_rng(5)
+    dims = q.N_FEATURES
+    positive, unlabelled = (np.zeros((n, dims), np.float32) for n in (60, 90))
+    positive[:, :3], unlabelled[:, :3] = r.normal(0.7, 1, (60, 3)), r.normal(0.1, 1, (90, 3))
+    every = np.concatenate([positive, unlabelled])
+    scaled = [(x - every.mean(axis=0)) / (every.std(axis=0) + 1e-3) for x in (positive, unlabelled)]
+
+    def objective(w, b, decay=2e-3):
+        first, bracket = brute_risk(*scaled, prior, w, b)
+        return first + max(0.0, bracket) + decay / 2 * float(w @ w)
+
+    start = float(np.log(prior / (1 - prior)))
+    one = q.fit(positive, unlabelled, prior, steps=1, rate=1e-3)
+    slope = [(objective(np.eye(dims)[k] * 1e-5, start) - objective(-np.eye(dims)[k] * 1e-5, start)) / 2e-5 for k in range(3)]
+    assert (np.sign(one.weight[:3]) == -np.sign(slope)).all()
+    m = q.fit(positive, unlabelled, prior, steps=3000, rate=0.01)
+    least = objective(m.weight, m.bias)
+    assert least <= objective(np.zeros(dims), start) and brute_risk(*scaled, prior, m.weight, m.bias)[1] > 0
+    for k in range(3):
+        for h in (-0.05, 0.05):
+            assert objective(m.weight + np.eye(dims)[k] * h, m.bias) >= least - 1e-4
+    assert all(objective(m.weight, m.bias + h) >= least - 1e-4 for h in (-0.05, 0.05))
+
+
+def test_negative_bracket_is_undone():
+    """Many features and few texts: the plain unbiased risk would push the bracket far below zero; the fit keeps it about there."""
+    r = np.random.default_rng(2)
+    positive, unlabelled = r.normal(0, 1, (30, q.N_FEATURES)).astype(np.float32), r.normal(0, 1, (30, q.N_FEATURES)).astype(np.float32)
+    every = np.concatenate([positive, unlabelled])
+    scaled = [(x - every.mean(axis=0)) / (every.std(axis=0) + 1e-3) for x in (positive, unlabelled)]
+    m = q.fit(positive, unlabelled, 0.5, steps=400)
+    assert brute_risk(*scaled, 0.5, m.weight, m.bias)[1] > -0.1
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_is_estimated(share):
+    r = np.random.default_rng(1)
+
+    def draw(n, good):
+        x = np.zeros((n, q.N_FEATURES), np.float32)
+        x[:, :5] = r.normal(1.2 if good else -1.2, 1, (n, 5))
+        return x
+
+    n = 2000
+    mixed = np.concatenate([draw(int(n * share), True), draw(n - int(n * share), False)])
+    assert abs(q.estimate_prior(draw(1500, True), mixed) - share) < 0.05
+
+
+def test_repeated_ids_train_alike(spark):
+    rows = [(k, f"text {k} of some words " * (k % 7 + 1)) for k in range(40)] + [(3, "another text"), (3, "zzz"), (5, None)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(3, 0, 0)], "doc_id long, quality int, toxic int")
+    one, two = (q.train(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels) for x, n in ((rows, 2), (rows[::-1], 5)))
+    assert np.array_equal(one.weight, two.weight) and one.prior == two.prior
+
+
 def test_risk_is_non_negative_and_separates():
     r = np.random.default_rng(0)
     good, bad = r.normal(1, 1, (400, q.N_FEATURES)), r.normal(-1, 1, (400, q.N_FEATURES))
