@@ -15,24 +15,14 @@ from quire.operators import assemble as a
 from quire.operators import decode, grouping, matching, native_text, render, tables
 from quire.operators import vision
 from quire.plans import engine
+from quire.plans import details  # noqa: F401  (registers its queries)
 from quire.plans import views as v
+from quire.plans.registered import QUERIES, SQL, query
 from quire.schema import MERGEABLE_ROLES, SILENT_ROLES, VISUAL_KINDS, VLM_LABELS, VLM_TYPES, values_sql, vlm_types
 from quire.sources import documents as docs_io
 from quire.streaming.stream import parse_stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["QUERIES", "SQL"]
 
 
 def _in(names: tuple[str, ...]) -> str:
@@ -568,7 +558,7 @@ def token_splice_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.splice(tok, cells.withColumn("spans", spans), ["grp"])
 
 
-@query()
+@query(details.GRID_RECOVER_SQL)
 def grid_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logical positions of each group's boxes, taken as cells in reading order."""
     rows = v.boxes(spark, sf_dir)
@@ -594,14 +584,14 @@ def _grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(details.GRID_HTML_SQL)
 def grid_fill_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.struct("cell_idx", F.struct("row_start", "row_end", "col_start", "col_end").alias("l"), F.when(F.col("cell_idx") % 2 == 0, F.concat(F.lit("t"), F.col("cell_idx"))).alias("t"))
     rows = _grid_cells(spark, sf_dir).groupBy("grp").agg(F.array_sort(F.collect_list(one)).alias("r"))
     return rows.select("grp", tables.grid_html(F.transform("r", lambda x: x["l"]), F.transform("r", lambda x: x["t"])).alias("html"))
 
 
-@query()
+@query(details.READING_ORDER_SQL)
 def reading_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each group in reading order."""
     rows = v.boxes(spark, sf_dir).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("idx", "x0", "y0", "x1", "y1"))).alias("r"))
@@ -621,7 +611,7 @@ def reading_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(run, "grp long, place int, idx int")
 
 
-@query()
+@query(details.HULL_SQL)
 def hull_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least rectangles around the corners of each group's boxes."""
     rows = v.boxes(spark, sf_dir).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("idx", "x0", "y0", "x1", "y1"))).alias("r"))
@@ -636,10 +626,10 @@ def hull_rect(spark: SparkSession, sf_dir: str) -> DataFrame:
                 points = np.array([[b[x], b[y]] for b in r for x, y in (("x0", "y0"), ("x1", "y1"))], dtype=float)
                 rect, side = vision.min_area_rect(points)
                 edge = np.roll(rect, -1, axis=0) - rect
-                out.append((grp, len(vision.convex_hull(points)), round(side, 3), round(float(np.hypot(*edge[0]) * np.hypot(*edge[1])), 2)))
-            yield pd.DataFrame(out, columns=["grp", "n_hull", "short_side", "area"])
+                out.append((grp, len(vision.convex_hull(points)), side == 0, round(float(np.hypot(*edge[0]) * np.hypot(*edge[1])), 2)))
+            yield pd.DataFrame(out, columns=["grp", "n_hull", "flat", "area"])
 
-    return rows.mapInPandas(run, "grp long, n_hull int, short_side double, area double")
+    return rows.mapInPandas(run, "grp long, n_hull int, flat boolean, area double")
 
 
 def _images(spark: SparkSession, sf_dir: str, kind: str, value: Callable[[Column, Column, Column], Column], side: int) -> DataFrame:
