@@ -19,9 +19,9 @@ from quire.llm.components import components
 
 SEED = 42
 #: Most weight of a cell that one comparison takes; a heavier cell is dealt over blocks. A row weighs its shingles and ROW_WEIGHT, a mere fingerprint FP_WEIGHT.
-CELL_WEIGHT, ROW_WEIGHT, FP_WEIGHT = 1 << 21, 64, 128
+CELL_WEIGHT, ROW_WEIGHT, FP_WEIGHT = 1 << 20, 64, 128
 #: Weight gathered before complete cells are compared.
-GATHER = 1 << 22
+GATHER = 1 << 21
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -175,10 +175,10 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 3, id_col:
     """
     marked = cut(fingerprints(docs, words, id_col, text_col))
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    roots = components(links(nodes.select("fp"), radius))
+    roots = cut(components(links(nodes.select("fp"), radius)))
     rooted = roots.withColumnRenamed("node", "fp").join(nodes, "fp")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = rooted.select("fp", "root").join(best, "root").select("fp", "component_id")
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes"))
+    moved = skew_join(rooted.select("fp", "root"), best, "root", "nodes", roots.count()).select("fp", "component_id")
     named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
     return skew_join(marked, named, "fp", "n", marked.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -367,9 +367,9 @@ def deduplicate(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     """
     groups = cut(near_duplicates(docs, words, similarity, id_col, text_col))
     best = F.min(F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("least"), F.col("node").alias("node"))).alias("best")
-    many = groups.groupBy("root").agg(best, F.sum("n").alias("all")).where("all > 1")
+    many = groups.groupBy("root").agg(best, F.sum("n").alias("all"), F.count("*").alias("nodes")).where("all > 1")
     # The nodes of groups of several rows, and the id that stays if the node is the group's best.
-    decided = groups.select("root", "node", "n").join(many, "root")
+    decided = skew_join(groups.select("root", "node", "n"), many, "root", "nodes", groups.count())
     decided = cut(decided.select(F.col("node").alias("_q_node"), F.col("n").alias("_q_n"), (F.col("best.node") == F.col("node")).alias("_q_best"), F.col("best.least").alias("_q_id")))
     marked = screened(docs.withColumn("_q_node", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))), decided.select("_q_node"), "_q_node", "_q_may")
     total = groups.agg(F.sum("n")).first()[0] or 0
