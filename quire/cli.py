@@ -1,6 +1,7 @@
-"""Command line: tables of recognised regions or VLM answers to Markdown, content lists and JSON documents.
+"""Command line: tables of recognised regions, of stages' results, or of VLM answers to Markdown, content lists and JSON documents.
 
-Reading page images and running models is left to the operators that make these tables (see README).
+Reading page images and running models is left to the operators that make these tables (see README). Every option acts: there are none for models that
+don't run here.
 """
 
 from __future__ import annotations
@@ -12,29 +13,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quire.operators import render
 from quire.plans import engine
-from quire.sources.documents import EFFORTS, Config, ParseOptions, check_effort, parse_page_range
+from quire.sources.documents import DPI, EFFORTS, POINTS, Config, ParseOptions, check_effort, parse_page_range
 from quire.sources.sinks import write_outputs
 
-BACKENDS = ("pipeline", "vlm", "hybrid")
+BACKENDS = ("pipeline", "pages", "vlm", "hybrid")
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quire", description=__doc__)
-    p.add_argument("input", help="folder with regions.parquet (pipeline), answers.parquet (vlm, hybrid), detections.parquet and ocr.parquet (hybrid), pages.parquet")
+    p.add_argument(
+        "input",
+        help="folder with pages.parquet and: regions.parquet (pipeline); detections.parquet and what there is of native, ocr, formulas, classes, wired, wireless (pages); answers.parquet (vlm, hybrid); "
+        "detections.parquet and ocr.parquet (hybrid)",
+    )
     p.add_argument("-o", "--output", required=True, help="folder for the tables markdown, content_list and document")
     p.add_argument("-b", "--backend", choices=BACKENDS, default="pipeline")
     p.add_argument("-m", "--mode", choices=(render.MARKDOWN, render.TEXT_ONLY), default=render.MARKDOWN)
     p.add_argument("--pages", help="START, START: or START:END (from 0, end exclusive)")
     p.add_argument("--effort", choices=EFFORTS, default="medium")
-    p.add_argument("--lang")
-    p.add_argument("--no-formula", action="store_true")
-    p.add_argument("--no-table", action="store_true")
+    p.add_argument("--lang", help="only OCR lines of this language, if they have a column lang (hybrid)")
+    p.add_argument("--no-formula", action="store_true", help="leave formulas out")
+    p.add_argument("--no-table", action="store_true", help="leave tables' contents out")
+    p.add_argument("--dpi", type=float, default=DPI, help="of the detections' pixels (pages)")
     p.add_argument("--image-dir", default="images")
     p.add_argument("--debug", action="store_true", help="also write the JSON documents")
     p.add_argument("--config", help="JSON file with settings")
-    p.add_argument("--models-dir")
-    p.add_argument("--device", choices=Config.DEVICES)
-    p.add_argument("--vlm-url")
     return p
 
 
@@ -44,6 +47,9 @@ def _backend(spark: SparkSession, args: argparse.Namespace) -> engine.Backend:
 
     if args.backend == "pipeline":
         return engine.PipelineBackend(table("regions"))
+    if args.backend == "pages":
+        stages = {name: table(name) for name in ("native", "ocr", "formulas", "classes", "wired", "wireless")}
+        return engine.PageRunBackend(table("detections"), stages, args.dpi / POINTS, writes_images=True)
     if args.backend == "vlm":
         return engine.VlmBackend(table("answers"))
     high = check_effort(args.effort) == "high"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +19,7 @@ from quire.plans import views as v
 from quire.plans.registered import QUERIES, SQL, query
 from quire.schema import MERGEABLE_ROLES, SILENT_ROLES, VISUAL_KINDS, VLM_LABELS, VLM_TYPES, values_sql, vlm_types
 from quire.sources import documents as docs_io
-from quire.streaming.stream import parse_stream
+from quire.streaming.stream import parse_stream, shared_folder
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -856,10 +855,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed as a stream and as a batch: rows that only one of them has, by document."""
     import uuid
 
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-    base = f"{sc.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = v.table(spark, sf_dir, "documents")
     rows.write.parquet(f"{base}/in")
     parse = lambda df: df.select("doc_id", F.length("text").alias("n"), F.xxhash64(t.collapse_newlines(F.col("text"))).alias("h"))

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
-from quire.operators import images, native_text
+from quire.operators import images, native_text, page_run
 from quire.operators.tables import COLUMN_GAP, FIT, ROW_GAP
 from quire.plans import views as v
 from quire.plans.registered import query
+from quire.sources import pages as page_source
 
 _Q = "floor(CAST({} AS DOUBLE) * 1000000)::BIGINT"
 
@@ -170,6 +171,86 @@ def image_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MICRO = ("layout_low", "layout_high", "mask_blue", "line_red", "class_green")
 
 
+# --- a page's run ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {v.DETS_SQL},
+made AS (SELECT doc_id, page_idx, line_idx AS idx, kind, x0, kind IN ('text', 'caption', 'footnote', 'discarded') AS reads, line_idx % 3 = 0 AS wired FROM v_dets)
+SELECT doc_id, page_idx, idx, kind, x0, CASE WHEN NOT reads THEN 0 WHEN idx % 3 = 0 THEN 1 WHEN idx % 4 <> 0 THEN 2 ELSE 0 END AS n_lines,
+  CASE WHEN NOT reads THEN '' WHEN idx % 3 = 0 THEN 'n' || idx WHEN idx % 4 <> 0 THEN 'o' || idx || ' more' ELSE '' END AS text, CASE WHEN kind = 'equation' AND idx % 2 = 0 THEN 'x_' || idx END AS latex,
+  CASE WHEN kind = 'inline_formula' AND idx % 2 = 0 THEN 'x_' || idx END AS inline_latex, CASE WHEN kind <> 'table' THEN NULL WHEN wired AND idx % 5 > 0 THEN '<w' || idx || '>' WHEN NOT wired AND idx % 7 > 0 THEN '<l' || idx || '>' END AS html,
+  CASE WHEN kind IN ('image', 'chart', 'table') THEN 'p' || page_idx || '_o' || idx || '.png' END AS image, CASE WHEN kind = 'table' AND wired AND idx % 5 = 0 THEN 'wired: bad' END AS warning FROM made""")
+def page_run_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections in pixels with the results of the stages that their kinds call for: failed wired tables, tables that weren't classed, absent rows."""
+    i = F.col("line_idx")
+    dets = v.dets(spark, sf_dir).select("doc_id", "page_idx", i.alias("idx"), i.alias("order"), "label", g.scale(v.box_of("x0", "y0", "x1", "y1"), 2.0).alias("bbox"))
+    i = F.col("idx")
+    key = lambda where, *more: dets.where(where).select(*page_run.KEY, *more)
+    two = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.concat(F.lit("o"), i).alias("t")), F.struct(F.lit(1).alias("k"), F.lit("more").alias("t"))))
+    ocr = dets.where(i % 4 != 0).select(*page_run.KEY, "bbox", two.alias("x")).select(*page_run.KEY, F.col("x.k").alias("line_idx"), "bbox", F.col("x.t").alias("text"), g.f32(0.9).alias("score"))
+    stages = page_run.Stages(
+        native=key(i % 3 == 0, F.concat(F.lit("n"), i).alias("text")), ocr=ocr, formulas=key(i % 2 == 0, F.concat(F.lit("x_"), i).alias("latex")),
+        classes=key(i % 6 != 5, F.when(i % 3 == 0, "wired").when(i % 3 == 1, "wireless").alias("class")),
+        wired=key(i >= 0, F.concat(F.lit("<w"), i, F.lit(">")).alias("html"), F.when(i % 5 == 0, "bad").alias("error")),
+        wireless=key(i % 7 != 0, F.concat(F.lit("<l"), i, F.lit(">")).alias("html"), F.lit(None).cast("string").alias("error")),
+    )
+    found = page_run.recognised(dets, stages, 2.0, writes_images=True)
+    text = F.array_join(F.transform("text_lines", lambda x: x["text"]), " ")
+    return found.select(*page_run.KEY, "kind", F.col("bbox.x0").cast("int").alias("x0"), F.size("text_lines").alias("n_lines"), text.alias("text"), "latex", "inline_latex", "html", "image", "warning")
+
+
+_STAGE_OF = "['rasterize', 'native_text', 'layout', 'ocr', 'formula', 'table_classify', 'table_recognize'][line_idx % 6 + 1 + line_idx % 2]"
+
+
+@query(f"""WITH {v.LINES_SQL},
+t AS (SELECT {_STAGE_OF} AS stage, sum((doc_id * 7 + line_idx) % 64 / 64.0::DOUBLE) AS seconds FROM v_lines GROUP BY ALL),
+every AS (SELECT unnest(['rasterize', 'native_text', 'layout', 'ocr', 'formula', 'table_classify', 'table_recognize']) AS stage),
+s AS (SELECT stage, coalesce(seconds, 0) AS seconds FROM every LEFT JOIN t USING (stage)),
+b AS (SELECT * FROM s UNION ALL SELECT 'table', sum(seconds) FROM s WHERE starts_with(stage, 'table_'))
+SELECT stage, seconds, round(seconds / (SELECT sum(seconds) FROM s) * 100, 6) AS percent FROM b""")
+def stage_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of stages summed over all pages, with their shares."""
+    names = F.array(*[F.lit(n) for n in page_run.STAGES])
+    i = F.col("line_idx")
+    times = v.lines(spark, sf_dir).select(F.element_at(names, i % 6 + 1 + i % 2).alias("stage"), ((F.col("doc_id") * 7 + i) % 64 / 64.0).alias("seconds"))
+    return page_run.stage_times(times).withColumn("percent", F.round("percent", 6))
+
+
+class _LineReader:
+    """A stand-in for a native reader: a text's lines, eight on a page, each with its first sign; an empty text can't be opened."""
+
+    def __init__(self, content: bytes):
+        self.lines = content.decode().split("\n")
+        if not content:
+            raise ValueError("empty file")
+
+    def page_count(self) -> int:
+        return -(-len(self.lines) // v.LINES)
+
+    def page(self, index: int) -> dict:
+        box = (72.0, 80.0, 80.0, 92.0)
+        signs = [{"char_idx": k, "ch": x[:1] or None, "loose": box, "tight": None, "angle": 0.0, "font": "F", "font_size": 10.0, "weight": "weight700Bold"} for k, x in enumerate(self.lines[v.LINES * index : v.LINES * (index + 1)])]
+        return {"width": 612.0, "height": 792.0, "rotation": ("none", "degrees90")[index % 2], "characters": signs}
+
+    def picture(self, index: int, width: int, height: int) -> bytes:
+        return bytes(3 * width * height)
+
+
+@query(f"""WITH {v.LINES_SQL},
+p AS (SELECT doc_id, page_idx, count(*) FILTER (line <> '') AS signs FROM v_lines JOIN documents USING (doc_id) WHERE text <> '' GROUP BY ALL),
+r AS (SELECT * FROM p WHERE page_idx BETWEEN 1 AND 2)
+SELECT doc_id, coalesce(count(r.page_idx), 0) AS n_pages, coalesce(sum(signs), 0)::BIGINT AS n_glyphs, coalesce(sum(page_idx % 2 * 90), 0)::BIGINT AS turns, (any_value(coalesce(text, '')) = '')::BIGINT AS n_errors FROM documents LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
+def reader_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages one and two of every document through the reader's boundary: how many there are, their glyphs, their turns and what couldn't be opened."""
+    files = v.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    pages = page_source.read_pages(files, lambda: _LineReader, (1, 3))
+    glyphs = native_text.scan_glyphs(page_source.raw_characters(pages)).where("weight = 700").groupBy("doc_id").agg(F.count("*").alias("n_glyphs"))
+    turned = page_source.page_table(pages).groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.sum("rotation").alias("turns"))
+    wrong = page_source.open_errors(pages).groupBy("doc_id").agg(F.count("*").alias("n_errors"))
+    out = files.select("doc_id").join(glyphs, "doc_id", "left").join(turned, "doc_id", "left").join(wrong, "doc_id", "left")
+    return out.select("doc_id", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_pages", "n_glyphs", "turns", "n_errors")])
+
+
 # --- SQL of folds ----------------------------------------------------------------------------------------------------
 
 #: A box goes left of the boxes before it while it lies further left and the tops are near; the state is the list of placed boxes.

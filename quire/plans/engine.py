@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as t
 from quire.operators import assemble as a
-from quire.operators import render
+from quire.operators import page_run, render
 from quire.operators.grouping import in_page_range
-from quire.sources.documents import Config, ParseOptions, check_effort, image_analysis
+from quire.sources.documents import DPI, POINTS, Config, ParseOptions, check_effort, image_analysis
 
 Stage = Callable[[DataFrame], DataFrame]
 
@@ -31,7 +31,26 @@ class PipelineBackend:
     regions: Stage
 
     def analyze(self, documents: DataFrame, options: ParseOptions) -> DataFrame:
-        return a.merge_paragraphs(a.assemble(in_page_range(self.regions(documents), options.page_range)))
+        regions = page_run.without(in_page_range(self.regions(documents), options.page_range), options.formula, options.table)
+        return a.merge_paragraphs(a.assemble(regions))
+
+
+@dataclass(frozen=True)
+class PageRunBackend:
+    """``detections`` gives layout detections in pixels (doc_id, page_idx, idx, order, label, bbox); the other stages their results by region, each of them
+    None or failing where it is absent. Formula and table stages that the options leave out aren't loaded."""
+
+    detections: Stage
+    stages: dict[str, Stage] = field(default_factory=dict)
+    pixels_per_point: float = DPI / POINTS
+    writes_images: bool = False
+
+    def analyze(self, documents: DataFrame, options: ParseOptions) -> DataFrame:
+        left_out = (() if options.formula else ("formulas",)) + (() if options.table else ("classes", "wired", "wireless"))
+        given = {name: page_run.best_effort(name, lambda load=load: load(documents)) for name, load in self.stages.items() if name not in left_out}
+        dets = in_page_range(self.detections(documents), options.page_range)
+        regions = page_run.recognised(dets, page_run.Stages(**given), self.pixels_per_point, self.writes_images)
+        return a.merge_paragraphs(a.assemble(regions.drop("kind", "warning")))
 
 
 @dataclass(frozen=True)
@@ -63,7 +82,10 @@ class HybridBackend:
             asked = a.sent_to_vlm(F.col("vlm_type"), image_analysis(self.effort, options.image_analysis))
             regions = regions.withColumn("content", F.when(asked, a.reduce_contents(F.col("contents"))))
         if self.ocr is not None:
-            regions = a.fill_from_ocr(regions, self.ocr(documents))
+            ocr = self.ocr(documents)
+            if options.lang is not None and "lang" in ocr.columns:
+                ocr = ocr.where(F.col("lang") == options.lang)
+            regions = a.fill_from_ocr(regions, ocr)
         titles = dets.where("label = 'doc_title'").select("doc_id", "page_idx", "bbox")
         return a.assemble_hybrid(regions, titles)
 
