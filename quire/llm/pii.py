@@ -55,6 +55,22 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _iban(value: str) -> bool:
+    """Country, check digits and 11 to 30 more signs whose number, country and check digits put last and letters as 10 to 35, leaves 1 modulo 97."""
+    v = value.replace(" ", "").replace("-", "").upper()
+    return bool(re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", v)) and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def _ssn(value: str) -> bool:
+    """Three, two and four digits, none of them all zero, the first neither 666 nor 900 and above."""
+    m = re.fullmatch(r"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})", value)
+    return bool(m) and m[1] not in ("000", "666") and m[1] < "900" and m[3] != "00" and m[4] != "0000"
+
+
+#: Further tests of what stands after a cue.
+VALID = {"iban": _iban, "ssn": _ssn}
+
+
 def _run(text: str, at: int, chars: frozenset) -> int:
     n = len(text)
     while at < n and text[at] in chars:
@@ -123,7 +139,8 @@ def _phone(text: str, at: int, floor: int) -> tuple[int, int, bool] | None:
 
 
 def _account(text: str, at: int, cue: str) -> tuple[int, int, bool] | None:
-    """After an identifier cue and up to twelve signs of filling (number, no, :, #): letters, digits, hyphens, and single blanks between groups with digits."""
+    """After an identifier cue and filling (number, no, :, #): letters, digits, hyphens, and single blanks between groups with digits, of a length
+    that the cue allows; an IBAN's check digits and a social security number's parts must be right."""
     least, most = ACCOUNT_CUES[cue.lower()]
     if at > len(cue) and text[at - len(cue) - 1].isalnum():
         return None
@@ -139,7 +156,7 @@ def _account(text: str, at: int, cue: str) -> tuple[int, int, bool] | None:
     while end > start and text[end - 1] in " -":
         end -= 1
     good = least <= sum(c in _DIGIT for c in text[start:end]) and end - start <= most
-    return (start, end, True) if good else None
+    return (start, end, True) if good and VALID.get(cue.lower(), bool)(text[start:end]) else None
 
 
 _FILL = re.compile(r"(?:[ \t]*(?:number|num|no\.?|nr\.?|code))?[ \t]*[:=#]?[ \t]*", re.IGNORECASE)
@@ -234,7 +251,8 @@ def masked(text: str, spans: dict[str, list[tuple[int, int]]]) -> str:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs``, all rows and columns, with personal data in the text masked; null texts stay null."""
+    """``docs``, all rows and columns, whatever they are named, with personal data in the text masked. Null and empty texts stay as they are; each row is masked by
+    its own text, repeated rows alike; an empty table stays empty."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,5 +88,6 @@ SELECT *, ({numbered_sql(["shard"], ["doc_id", "text_crc32", "size"])})::BIGINT
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], id_col: str = "doc_id") -> None:
-    """Writes all columns of ``docs`` as Parquet under ``path``/shard=N. Tasks are even: rows aren't gathered by shard."""
+    """Writes all columns of ``docs`` (but one named shard) as Parquet under ``path``/shard=N. Tasks are even: rows aren't gathered by shard.
+    Null texts, null ids (one key) and repeated rows are written like others; an empty table writes no shard."""
     docs.withColumn("shard", rendezvous(F.col(id_col), weights)).write.mode("overwrite").partitionBy("shard").parquet(path)

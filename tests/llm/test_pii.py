@@ -97,3 +97,11 @@ def test_redaction(odd, empty, docs):
 def test_very_long_runs():
     for t in ("a" * 50_000 + "@", "1" * 50_000, "0" * 9000 + ".1.1.1", "+1" + " " * 50_000, "1.1." * 20_000):
         check(t)
+
+
+def test_accounts_are_validated():
+    find = lambda t: [t[a:b] for a, b in pii.Finder().find(t)["account"]]
+    assert find("IBAN: DE89 3704 0044 0532 0130 00.") == ["DE89 3704 0044 0532 0130 00"] and find("iban GB82WEST12345698765432") == ["GB82WEST12345698765432"]
+    assert find("IBAN: DE88 3704 0044 0532 0130 00.") == [] and find("IBAN 1234567890123456") == []
+    assert find("ssn 078-05-1120 x") == ["078-05-1120"] and find("SSN: 666-12-3456") == [] and find("ssn 912-34-5678") == [] and find("ssn 123-00-4567") == []
+    assert find("account no. 12345678") == ["12345678"] and find("passport: X1234567") == ["X1234567"]
