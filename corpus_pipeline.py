@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near duplicates, decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of ``docs``; a table may be empty, repeat rows or have more columns.
+stage's docs. All but the last return the columns of ``docs``, whatever more of them there are and however they are named. In every stage an empty
+table stays empty and null texts count as empty ones.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from quire.llm.common import read, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be of quality 1."""
+    """Documents that the classifier predicts to be of quality 1, each by its text alone, also one with a null id; empty texts are judged like others, repeated rows alike."""
     return quality.accept(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
@@ -26,7 +27,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a verified overlap with a benchmark item."""
+    """Documents without a verified overlap with a benchmark item, each by its text alone, also one with a null id; null and empty texts stay, repeated rows stay or go together."""
     return decontamination.decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -37,7 +38,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document in its length bucket and token-budget batch."""
+    """Every piece of every document in its length bucket and token-budget batch; a null or empty text is one piece, null ids and repeated rows are packed each row once."""
     return packing.pack(docs)
 
 
@@ -54,11 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
+    """The stages applied to ``documents``, each written to the shared folder and read again. A stage's rows are overwritten by none when the next one
+    has been written, so that one stage's output and the one before are kept at a time."""
     docs = read(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            spark.createDataFrame([], docs.schema).write.mode("overwrite").parquet(before)
+        docs, before = spark.read.parquet(path), path
     return docs
