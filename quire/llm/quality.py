@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -112,16 +113,19 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean.astype(np.float64), scale.astype(np.float64), w, float(b), prior)
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1, slack: float = 0.01) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, sides: tuple[np.ndarray, np.ndarray] | None = None, doubt: float = 0.1, slack: float = 0.01) -> float:
     """The share of positives among unlabelled texts, from features of both; labels of the unlabelled ones aren't looked at.
 
-    A classifier of positives against unlabelled texts is fitted on each half of both and scores the other half. Above any score, the unlabelled texts'
+    A classifier of positives against unlabelled texts is fitted on each half of both and scores the other half. ``sides`` says which half each row is in; a
+    text that is in both sets must be in the same half of both, or the half that learned it as a positive would score it. Above any score, the unlabelled texts'
     share divided by the positives' is at least the prior, and equal to it where only positives score so high. The score is taken at which that
     quotient with a confidence bound (of probability 1 - ``doubt``) is smallest.
     """
     if len(positive) < 2 or len(unlabelled) < 2:
         return 0.5
-    half = [np.arange(len(x)) % 2 == 0 for x in (positive, unlabelled)]
+    half = sides or tuple(np.arange(len(x)) % 2 == 0 for x in (positive, unlabelled))
+    if any(h.all() or not h.any() for h in half):
+        return 0.5
     scores: tuple[list, list] = ([], [])
     for side in (True, False):
         model = fit(positive[half[0] == side], unlabelled[half[1] == side], 0.5)
@@ -135,16 +139,17 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float =
     return float(np.clip(those[best] / above[best], LEAST_PRIOR, 1 - LEAST_PRIOR))
 
 
-def _matrix(df: DataFrame) -> np.ndarray:
-    """Features of a bounded number of texts (doc_id, text), in the order of their ids."""
+def _matrix(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and features of a bounded number of texts (doc_id, text), in the order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "f"])
 
-    rows = [np.frombuffer(r["f"], dtype=np.float32) for r in sorted(df.select("doc_id", "text").mapInArrow(run, "doc_id long, f binary").collect())]
-    return np.stack(rows) if rows else np.zeros((0, N_FEATURES), dtype=np.float32)
+    rows = sorted(df.select("doc_id", "text").mapInArrow(run, "doc_id long, f binary").collect())
+    ids = np.array([r["doc_id"] for r in rows], dtype=np.int64)
+    return ids, np.stack([np.frombuffer(r["f"], dtype=np.float32) for r in rows]) if rows else np.zeros((0, N_FEATURES), dtype=np.float32)
 
 
 def _sample(ids: DataFrame, n: int) -> DataFrame:
@@ -162,8 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     texts = docs.where(learn & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chosen = (_sample(known.where("quality = 1"), sample), _sample(known, sample))
     # One text for an id, however many rows carry it: no more than ``sample`` rows reach the driver.
-    positive, unlabelled = (_matrix(texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))) for ids in chosen)
-    return fit(positive, unlabelled, estimate_prior(positive, unlabelled))
+    (p_ids, positive), (u_ids, unlabelled) = (_matrix(texts.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))) for ids in chosen)
+    sides = tuple(np.array([zlib.crc32(str(i).encode()) // FOLDS % 2 == 0 for i in ids.tolist()], dtype=bool) for ids in (p_ids, u_ids))
+    return fit(positive, unlabelled, estimate_prior(positive, unlabelled, sides))
 
 
 def _scored(batch: pa.RecordBatch, column: int, model: Model) -> np.ndarray:
