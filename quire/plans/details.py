@@ -139,10 +139,10 @@ def _image_facts(w: int, h: int, red: int) -> tuple:
     layout, mask, line, structure, kind = (f(image) for f in (images.layout_input, images.mask_input, images.line_input, images.structure_input, images.class_input))
     dw, dh = images.detector_size(w, h)
     shown = structure[0] != 0
-    micro = lambda x: int(np.floor(float(x) * 1e6 + 0.5))
+    parts = lambda x: int(np.floor(float(x) * 1e4 + 0.5))
     return (
-        layout.shape[1], micro(layout[0].min()), micro(layout[0].max()), mask.shape[2], micro(mask[2].mean(dtype=np.float64)), dw, dh, line.shape[2], int((line[0] != 0).any(axis=0).sum()), micro(line[2, 0, 0]),
-        int(shown.any(axis=0).sum()), int(shown.any(axis=1).sum()), micro(kind[1, 0, 0]),
+        layout.shape[1], parts(layout[0].min()), parts(layout[0].max()), mask.shape[2], parts(mask[2].mean(dtype=np.float64)), dw, dh, line.shape[2], int((line[0] != 0).any(axis=0).sum()), parts(line[2, 0, 0]),
+        int(shown.any(axis=0).sum()), int(shown.any(axis=1).sum()), parts(kind[1, 0, 0]),
     )
 
 
@@ -151,12 +151,12 @@ _FACTS = ("layout_side", "layout_low", "layout_high", "mask_side", "mask_blue",
 
 @query(f"""WITH i AS (SELECT p_partkey AS id, (20 + p_partkey * 37 % 300)::INTEGER AS w, (16 + p_partkey * 53 % 200)::INTEGER AS h, (p_partkey * 11 % 250)::INTEGER AS red FROM part WHERE p_partkey % 20 = 0),
 s AS (SELECT *, ceil(CAST(CAST(48 AS FLOAT) * CAST(CAST(w AS FLOAT) / CAST(h AS FLOAT) AS FLOAT) AS FLOAT))::INTEGER AS own, CAST(488 AS FLOAT) / CAST(greatest(w, h) AS FLOAT) AS k FROM i)
-SELECT id, 800 AS layout_side, {"round(red / 255.0::DOUBLE * 1000000)::BIGINT"} AS layout_low, round(red / 255.0::DOUBLE * 1000000)::BIGINT AS layout_high, 1024 AS mask_side, round(50 / 255.0::DOUBLE * 1000000)::BIGINT AS mask_blue,
+SELECT id, 800 AS layout_side, round(red / 255.0::DOUBLE * 10000)::BIGINT AS layout_low, round(red / 255.0::DOUBLE * 10000)::BIGINT AS layout_high, 1024 AS mask_side, round(50 / 255.0::DOUBLE * 10000)::BIGINT AS mask_blue,
   (greatest(32, floor(w / 32.0 + 0.5) * 32))::INTEGER AS det_w, (greatest(32, floor(h / 32.0 + 0.5) * 32))::INTEGER AS det_h, least(greatest(own, 320), 2560) AS line_canvas, least(own, greatest(own, 320), 2560) AS line_used,
-  round((red / 127.5::DOUBLE - 1) * 1000000)::BIGINT AS line_red, least(greatest(trunc(CAST(w * k AS FLOAT))::INTEGER, 1), 488) AS table_w, least(greatest(trunc(CAST(h * k AS FLOAT))::INTEGER, 1), 488) AS table_h,
-  round((100 / 255.0::DOUBLE - 0.456) / 0.224 * 1000000)::BIGINT AS class_green FROM s""")
+  round((red / 127.5::DOUBLE - 1) * 10000)::BIGINT AS line_red, least(greatest(trunc(CAST(w * k AS FLOAT))::INTEGER, 1), 488) AS table_w, least(greatest(trunc(CAST(h * k AS FLOAT))::INTEGER, 1), 488) AS table_h,
+  round((100 / 255.0::DOUBLE - 0.456) / 0.224 * 10000)::BIGINT AS class_green FROM s""")
 def image_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes and values of models' inputs from pictures of one colour, to whole millionths that leave single precision room."""
+    """Sizes and values of models' inputs from pictures of one colour, in whole ten-thousandths, which leave single precision room."""
     k = F.col("p_partkey")
     rows = v.table(spark, sf_dir, "part").where(k % 20 == 0).select(k.alias("id"), (20 + k * 37 % 300).cast("int").alias("w"), (16 + k * 53 % 200).cast("int").alias("h"), (k * 11 % 250).cast("int").alias("red"))
 
