@@ -55,22 +55,22 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def _blocks(docs: DataFrame, longest: int, may_hold) -> DataFrame:
-    """One row per text block that ``may_hold`` (a condition on an array of words) lets through: the document's key and the block's
-    distinct words. A block is a line, or ``longest`` consecutive words of a text with several lines, over line ends.
+def _blocks(docs: DataFrame, longest: int, order: list[str], may_hold) -> DataFrame:
+    """One row per text block that ``may_hold`` lets through: the document's key and _own, the tokens of ``order`` that the block holds, in that order. A block is a line, or ``longest`` consecutive words of a text with several lines, over line ends.
 
     Such stretches are cut from overlapping spans of twice the length, so that few are made where no span holds a template.
     """
-    words = _words(F.col("_text"))
-    span = lambda i: F.struct(F.lit(True).alias("cuts"), F.slice(words, i, 2 * longest).alias("w"))
-    spans = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(longest)), span)
+    # The words are a bound variable of the lambda: written out in it, the text would be cut anew for every span.
+    span = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(longest)), lambda i: F.struct(F.lit(True).alias("cuts"), F.slice(w, i, 2 * longest).alias("w")))
+    spans = F.element_at(F.transform(F.array(_words(F.col("_text"))), span), 1)
     line = lambda x: F.struct(F.lit(False).alias("cuts"), _words(x).alias("w"))
     lines = F.transform(F.split("_text", "\n"), line)
     parts = docs.select("_id", "_hash", "_size", F.explode(F.when(F.instr("_text", "\n") > 0, F.concat(lines, spans)).otherwise(lines)).alias("_part"))
-    parts = parts.select("_id", "_hash", "_size", "_part.cuts", F.col("_part.w").alias("w")).where(may_hold(F.col("w")))
+    own = F.array_intersect(F.array(*map(F.lit, order)), "w")
+    parts = parts.select("_id", "_hash", "_size", "_part.cuts", F.col("_part.w").alias("w")).withColumn("_own", own).where(may_hold(F.col("_own")))
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - longest + 1))
     stretches = F.when(F.col("cuts"), F.transform(starts, lambda i: F.slice("w", i, longest))).otherwise(F.array("w"))
-    return parts.select("_id", "_hash", "_size", F.explode(stretches).alias("w")).select("_id", "_hash", "_size", F.array_distinct("w").alias("_words"))
+    return parts.select("_id", "_hash", "_size", F.explode(stretches).alias("w")).select("_id", "_hash", "_size", own.alias("_own"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,6 +84,14 @@ def _sets(templates, containment: float) -> list[tuple[str, list[str], int]]:
     return [(label, tokens(t), math.ceil(containment * len(tokens(t)) - 1e-9)) for label, t in templates]
 
 
+def _enough(own: Column, sets: list[tuple[str, list[str], int]]) -> Column:
+    """Whether tokens are enough for a template: first by their number alone."""
+    may = F.lit(False)
+    for _, s, need in sets:
+        may |= F.size(F.array_intersect(F.array(*map(F.lit, s)), own)) >= need
+    return F.when(F.size(own) >= min((need for *_, need in sets), default=1), may).otherwise(F.lit(False))
+
+
 def profiled(keyed: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``keyed`` with n_words, _own (the templates' tokens that the text holds) and the text only where it holds enough tokens of a template in all.
 
@@ -94,10 +102,7 @@ def profiled(keyed: DataFrame, templates=TEMPLATES, containment: float = CONTAIN
     split = keyed.withColumn("_w", _words(F.col("_text")))
     ends = (F.get("_w", F.lit(0)) == "").cast("long") + ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("long")
     held = split.withColumn("n_words", F.size("_w") - ends).withColumn("_own", F.array_intersect(F.array(*map(F.lit, vocabulary)), "_w")).drop("_w")
-    may = F.lit(False)
-    for _, s, need in sets:
-        may |= F.size(F.array_intersect(F.array(*map(F.lit, s)), "_own")) >= need
-    may = F.when(F.size("_own") >= min((need for *_, need in sets), default=1), may).otherwise(F.lit(False))
+    may = _enough(F.col("_own"), sets)
     return held.withColumn("_may", F.when(may, F.col("_text")))
 
 
@@ -130,15 +135,9 @@ def similarity_join(profile: DataFrame, templates=TEMPLATES, containment: float
     table = profile.sparkSession.createDataFrame(prefixes, "t string, i int, need int, n int, label string, tokens array<string>")
     longest = _longest(templates, containment)
 
-    def may_hold(words: Column) -> Column:
-        enough = F.lit(False)
-        for _, s, need in sets:
-            enough |= F.size(F.array_intersect(F.array(*map(F.lit, s)), words)) >= need
-        return F.arrays_overlap(words, F.array(*map(F.lit, first))) & enough
-
-    candidates = _blocks(profile.where("_may is not null").select("_id", "_hash", "_size", F.col("_may").alias("_text")), longest, may_hold)
-    # array_intersect keeps the order of its first argument: the block's tokens, rarest first.
-    known = candidates.withColumn("_own", F.array_intersect(F.array(*map(F.lit, order)), "_words"))
+    may_hold = lambda own: F.arrays_overlap(own, F.array(*map(F.lit, first))) & _enough(own, sets)
+    # array_intersect keeps the order of its first argument: a block's tokens, rarest first.
+    known = _blocks(profile.where("_may is not null").select("_id", "_hash", "_size", F.col("_may").alias("_text")), longest, order, may_hold)
     probes = known.select("_id", "_hash", "_size", "_own", F.posexplode("_own").alias("j", "t"))
     met = probes.join(F.broadcast(table), "t").where(
         (F.size("_own") >= F.col("need")) & (F.least(F.col("n") - F.col("i"), F.size("_own") - F.col("j")) >= F.col("need"))
