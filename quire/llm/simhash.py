@@ -83,9 +83,9 @@ def _dealt(keyed: DataFrame, meet: bool = True) -> DataFrame:
     A cell heavier than ``CELL_WEIGHT`` becomes blocks of half that weight, and each pair of blocks a cell; if not ``meet``, each block alone. A label that fills more than a
     block has blocks of its own, which don't meet each other: a family of copies that is linked already isn't compared again.
     """
-    sizes = keyed.groupBy("cell").agg(F.sum("weight").alias("_w"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
-    live = sizes.where("_lo <> _hi").select("cell", "_w")
-    rows = keyed.join(live, "cell")
+    sizes = keyed.groupBy("cell").agg(F.sum("weight").alias("_w"), F.count("*").alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    live = sizes.where("_lo <> _hi").select("cell", "_w", "_n")
+    rows = skew_join(keyed, live, "cell", "_n", keyed.count()).drop("_n")
     small = rows.where(F.col("_w") <= CELL_WEIGHT).select(*keyed.columns)
     if live.where(F.col("_w") > CELL_WEIGHT).limit(1).count() == 0:
         return small
