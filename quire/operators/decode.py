@@ -48,11 +48,11 @@ def spell(classes: DataFrame, group: Sequence[str], characters: Sequence[str]) -
 def top_classes(logits: DataFrame, group: Sequence[str], classes: int) -> DataFrame:
     """(group, rank, query, class, score): of all (query, class) pairs of a group, as many of the highest as there are queries; ties by flat place.
 
-    ``logits``: group, logits as one flat array of query * classes values.
+    ``logits``: group, logits as one flat array of query * classes values. They rank, not the scores: different logits may have one score in single precision.
     """
     flat = logits.select(*group, F.floor(F.size("logits") / classes).alias("_k"), F.posexplode("logits").alias("_pos", "_v"))
     scored = flat.withColumn("score", g.sigmoid(F.col("_v")))
-    w = Window.partitionBy(*group).orderBy(F.col("score").desc(), "_pos")
+    w = Window.partitionBy(*group).orderBy(F.col("_v").desc(), "_pos")
     ranked = scored.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < F.col("_k"))
     return ranked.select(*group, "rank", F.floor(F.col("_pos") / classes).cast("int").alias("query"), (F.col("_pos") % classes).cast("int").alias("class"), "score")
 

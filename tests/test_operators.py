@@ -193,6 +193,13 @@ def test_order_ranks(spark):
     assert ranks(1) == [0, 1, 2] and ranks(-1) == [2, 1, 0]
 
 
+def test_top_classes_of_one_score(spark):
+    """Different logits with one score in single precision rank by logit; equal logits by place."""
+    df = spark.createDataFrame([(1, [20.0, 21.0, 0.1, 0.10000001, 21.0, 0.0])], "k int, logits array<float>")
+    top = decode.top_classes(df, ["k"], 2).orderBy("rank").collect()
+    assert [(r["query"], r["class"]) for r in top] == [(0, 1), (2, 0), (0, 0)] and len({r["score"] for r in top}) == 1
+
+
 def test_top_classes_and_detections(spark):
     df = spark.createDataFrame([(1, [-5.0, 5.0, -5.0, 4.0, -5.0, -9.0])], "k int, logits array<float>")
     top = decode.top_classes(df, ["k"], 3)
