@@ -60,9 +60,10 @@ def top_classes(logits: DataFrame, group: Sequence[str], classes: int) -> DataFr
 def order_ranks(logits: Column, n: int) -> Column:
     """Reading-order rank of each of ``n`` items from a flat n by n array: items that few others come before are first.
 
-    Item j gets the chance of every i < j to come before it, and for i > j one less the chance of j before i; only the upper triangle is read. Sums run in double, in order of i.
+    Item j gets the chance of every i < j to come before it, and for i > j one less the chance of j before i; only the upper triangle is read. Chances and their sums (in order of i) are
+    in double: chances rounded to single precision make sums equal, or change their order, that differ in the eighth digit.
     """
-    at = lambda i, j: g.sigmoid(F.get(logits, i * n + j)).cast("double")
+    at = lambda i, j: F.lit(1.0) / (F.lit(1.0) + F.exp(-F.get(logits, i * n + j).cast("double")))
     items = F.sequence(F.lit(0), F.lit(n - 1))
 
     def vote(j: Column) -> Column:

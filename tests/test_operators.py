@@ -193,6 +193,14 @@ def test_order_ranks(spark):
     assert ranks(1) == [0, 1, 2] and ranks(-1) == [2, 1, 0]
 
 
+def test_order_ranks_in_double(spark):
+    """Chances that are one number in single precision: the second of two items comes first, by less than a chance's eighth digit."""
+    near = -1e-9
+    rows = [(1, [0.0, near, 0.0, 0.0]), (2, [0.0, -near, 0.0, 0.0])]
+    got = spark.createDataFrame(rows, "k int, m array<float>").select("k", decode.order_ranks(F.col("m"), 2).alias("r")).orderBy("k").collect()
+    assert [list(r["r"]) for r in got] == [[1, 0], [0, 1]]
+
+
 def test_top_classes_of_one_score(spark):
     """Different logits with one score in single precision rank by logit; equal logits by place."""
     df = spark.createDataFrame([(1, [20.0, 21.0, 0.1, 0.10000001, 21.0, 0.0])], "k int, logits array<float>")
