@@ -2,11 +2,14 @@
 
 Removing duplicates and building spans and lines depend on what has been gathered so far. Glyphs are dealt and sorted by page once; a task then works on
 Arrow batches of many whole pages with array operations, and walks glyph by glyph only where a glyph may depend on the ones before it.
+
+A glyph's row is many times its share of a file, so where glyphs come from a reader, the functions ``read_...`` take the documents and the reader (a function from Arrow
+batches of documents to tables of whole pages, in order): pages are worked on in the task that reads them, and no glyph is shuffled, sorted or spilled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,12 @@ def scan_glyphs(raw: DataFrame) -> DataFrame:
     )
 
 
-#: Glyphs of whole pages that are handled at once.
-ROWS = 1 << 17
+SPANS = "doc_id long, page_idx int, line_idx int, span_idx int, text string, x0 float, y0 float, x1 float, y1 float, rotation float, font string, size int, weight int"
+FILLED = "doc_id long, page_idx int, idx int, text string, n_chars int"
+#: From batches of documents to tables of whole pages: GLYPHS by char_idx, or regions and glyphs as ``_fill`` takes them.
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]
+#: Glyphs of whole pages that are handled at once, and slots in which they are counted.
+ROWS, SLOTS = 1 << 17, 1 << 20
 _LINE_ENDS = ("\n", "\x02")
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -82,9 +89,13 @@ def _floats(table: pa.Table, *names: str) -> np.ndarray:
 
 def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, list]:
     """A number for each row, and the value of each number; null is a value."""
-    d = pc.dictionary_encode(column.combine_chunks(), null_encoding="encode")
+    d = column.combine_chunks()
+    if not pa.types.is_dictionary(column.type):
+        d = pc.dictionary_encode(d, null_encoding="encode")
     d = d.combine_chunks() if isinstance(d, pa.ChunkedArray) else d
-    return np.asarray(d.indices).astype(np.int64), d.dictionary.to_pylist()
+    values = d.dictionary.to_pylist()
+    # A reader's dictionary may leave null without a number.
+    return np.asarray(pc.fill_null(d.indices, len(values))).astype(np.int64), [*values, None] if d.indices.null_count else values
 
 
 def _merged(*columns: np.ndarray) -> np.ndarray:
@@ -92,8 +103,12 @@ def _merged(*columns: np.ndarray) -> np.ndarray:
     out = np.zeros(len(columns[0]), dtype=np.int64)
     for c in columns:
         if len(c) and (c != c[0]).any():
-            values, place = np.unique(c, return_inverse=True)
-            out = out * len(values) + place
+            if c.dtype.kind == "i" and int(c.max()) - int(c.min()) < 1 << 16:
+                n, place = int(c.max()) - int(c.min()) + 1, c - c.min()
+            else:
+                values, place = np.unique(c, return_inverse=True)
+                n = len(values)
+            out = out * n + place
             if out.max() > 1 << 31:
                 out = np.unique(out, return_inverse=True)[1]
     return out
@@ -115,20 +130,35 @@ def kept_glyphs(page: np.ndarray, sign: np.ndarray, white: np.ndarray, box: np.n
     """Which glyphs stay, over whole pages in order. White space does. Others go if they are the last kept glyph of the page shifted a little (a shadow), or nearly
     cover an earlier kept glyph of the page with the same signature.
 
-    Glyphs that share no square of twice the tolerance, on any of four grids shifted by it, are never near each other; only the others, shadows of their
-    neighbours, and what follows a glyph that went are looked at one by one.
+    Glyphs that share no square of twice the tolerance, on any of four grids shifted by it, are never near each other. Of two neighbours that share squares with each other only, the first of
+    which is no shadow, the second goes if it is near or a shadow, and so does a shadow if neither shares a square: that is decided for all of them at once. Only other glyphs that share squares, other shadows, and what follows a glyph that went
+    are looked at one by one.
     """
     n = len(page)
     group = _merged(page, sign)
     square = np.floor(box[:, :2].astype(np.float64) / NEAR).astype(np.int64)
     twin = np.zeros(n, dtype=bool)
+    mate = np.full(n, -1)
+    several = np.zeros(n, dtype=bool)
+    inked = np.flatnonzero(~white)
     for dx in (0, 1):
         for dy in (0, 1):
-            key = (group * 0x2545F491 + (square[:, 0] + dx >> 1)) * 0x9E3779B1 + (square[:, 1] + dy >> 1)
-            order = np.argsort(key, kind="stable")
-            same = np.flatnonzero(np.diff(key[order]) == 0)
-            twin[order[same]] = twin[order[same + 1]] = True
-    twin &= ~white
+            key = (group[inked] * 0x2545F491 + (square[inked, 0] + dx >> 1)) * 0x9E3779B1 + (square[inked, 1] + dy >> 1)
+            # Keys that share a slot with no other aren't sorted.
+            slot = (key * 0x4F1BBCDCBFA53E0B - (1 << 62) >> 40) & (SLOTS - 1)
+            may = np.flatnonzero(np.bincount(slot, minlength=SLOTS)[slot] > 1)
+            may = may[np.argsort(key[may], kind="stable")]
+            same = np.diff(key[may]) == 0
+            own = inked[may]
+            first = np.flatnonzero(same)
+            a, b = own[first], own[first + 1]
+            twin[a] = twin[b] = True
+            # Runs of two have a mate each; longer ones, and glyphs with different mates on different grids, are looked at one by one.
+            more = np.flatnonzero(same[1:] & same[:-1])
+            several[own[more]] = several[own[more + 1]] = several[own[more + 2]] = True
+            for x, y in ((a, b), (b, a)):
+                several[x[(mate[x] >= 0) & (mate[x] != y)]] = True
+                mate[x] = y
     shadow = np.zeros(n, dtype=bool)
     alike = np.flatnonzero(group[1:] == group[:-1]) + 1
     shadow[alike] = _shadows(box[alike - 1], box[alike]) & ~white[alike]
@@ -154,9 +184,21 @@ def kept_glyphs(page: np.ndarray, sign: np.ndarray, white: np.ndarray, box: np.n
         seen.setdefault((k, x, y), []).append(b)
         return False
 
+    # Neighbours that are each other's only mates.
+    a = np.flatnonzero(twin[:-1] & (mate[:-1] == np.arange(1, n)) & (mate[1:] == np.arange(n - 1)) & ~several[:-1] & ~several[1:] & ~shadow[:-1])
+    near = (np.abs(box[a + 1].astype(np.float64) - box[a]) <= NEAR).all(axis=1)
+    alone = ~twin & ~shadow
+    lone = np.flatnonzero(alone[:-1] & shadow[1:] & ~twin[1:]) + 1
+    gone = np.concatenate([a[near | shadow[a + 1]] + 1, lone])
+    keep[gone] = False
+    asked = twin | shadow
+    asked[a] = asked[a + 1] = asked[lone] = False
+    after = gone[gone + 1 < n] + 1
+    asked[after[group[after] == group[after - 1]]] = True
     done = 0
-    for i in np.flatnonzero(twin | shadow).tolist():
-        i = max(i, done)
+    for i in np.flatnonzero(asked).tolist():
+        if i < done:
+            continue
         while done <= i < n:
             keep[i] = not goes(i)
             done = i + 1
@@ -209,17 +251,23 @@ def _within(page: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return (number - number[np.maximum.accumulate(np.where(_changes(page), np.arange(len(page)), 0))]).astype(np.int32)
 
 
-def _grouped(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """Of whole pages: the kept glyphs, their span and line numbers, and where spans begin."""
+def _kept(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """Of whole pages: the pages' numbers, the glyphs' signs (numbers, and their values), style, rotations and boxes, and which glyphs stay."""
     page = np.cumsum(_changes(np.asarray(table.column("doc_id")), np.asarray(table.column("page_idx"))))
     ch, signs = _codes(table.column("ch"))
-    font = [_codes(table.column("font"))[0], *(np.asarray(table.column(c)) for c in ("size", "weight"))]
+    font = _merged(_codes(table.column("font"))[0], *(np.asarray(table.column(c)) for c in ("size", "weight")))
     rotation, box = _floats(table, "rotation")[:, 0], _floats(table, "x0", "y0", "x1", "y1")
     half_up = np.trunc(rotation * np.float32(1000) + np.copysign(np.float32(0.5), rotation)).astype(np.int64)
-    keep = kept_glyphs(page, _merged(ch, *font, half_up), np.array([c.isspace() for c in signs], dtype=bool)[ch], box)
+    keep = kept_glyphs(page, _merged(ch, font, half_up), np.array([c.isspace() for c in signs], dtype=bool)[ch], box)
+    return page, ch, signs, font, rotation, box, keep
+
+
+def _grouped(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole pages: the kept glyphs, their span and line numbers, and where spans begin."""
+    page, ch, signs, font, rotation, box, keep = _kept(table)
     table, page, ch, rotation, box = table.filter(pa.array(keep)), page[keep], ch[keep], rotation[keep], box[keep]
     ends = np.array([c in _LINE_ENDS for c in signs], dtype=bool)[ch]
-    first = span_starts(page, _merged(*(f[keep] for f in font), rotation), ends, box)
+    first = span_starts(page, _merged(font[keep], rotation), ends, box)
     at = np.flatnonzero(first)
     around = np.concatenate([np.minimum.reduceat(box[:, :2], at), np.maximum.reduceat(box[:, 2:], at)], axis=1)
     lines = _within(page[at], line_starts(page[at], ends[np.append(at[1:], len(page)) - 1], rotation[at], around))
@@ -237,25 +285,58 @@ def group_glyphs(glyphs: DataFrame) -> DataFrame:
     return _by_page(glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]), "char_idx").mapInArrow(run, f"{GLYPHS}, span_idx int, line_idx int")
 
 
+def _spans(pages: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The spans (SPANS) of whole pages of glyphs."""
+    table, span, line, at = _grouped(pages)
+    ch, signs = _codes(table.column("ch"))
+    shown = np.array(signs, dtype=object)[ch].tolist()
+    text = ["".join(shown[a:b]) for a, b in zip(at, np.append(at[1:], len(shown)), strict=True)]
+    box = _floats(table, "x0", "y0", "x1", "y1")
+    corners = [f.reduceat(box[:, k], at) for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum))]
+    first = table.take(pa.array(at))
+    cells = [first.column("doc_id"), first.column("page_idx"), line[at], span[at], pa.array(text, pa.string()), *corners, first.column("rotation"), first.column("font").cast(pa.string()), *(first.column(c) for c in ("size", "weight"))]
+    names = [c.split()[0] for c in SPANS.split(", ")]
+    yield from pa.table([c if isinstance(c, (pa.ChunkedArray, pa.Array)) else pa.array(c) for c in cells], names).combine_chunks().to_batches()
+
+
+def _boxed(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "page_idx", "line_idx", "span_idx", "text", g.raw_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("bbox"), "rotation", "font", "size", "weight")
+
+
 def glyph_spans(glyphs: DataFrame) -> DataFrame:
     """``spans`` of ``group_glyphs`` in one pass: glyphs are dealt by page once and leave the task as spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pages in _whole_pages(batches):
-            table, span, line, at = _grouped(pages)
-            ch, signs = _codes(table.column("ch"))
-            shown = np.array(signs, dtype=object)[ch].tolist()
-            text = ["".join(shown[a:b]) for a, b in zip(at, np.append(at[1:], len(shown)), strict=True)]
-            box = _floats(table, "x0", "y0", "x1", "y1")
-            corners = [f.reduceat(box[:, k], at) for k, f in enumerate((np.minimum, np.minimum, np.maximum, np.maximum))]
-            first = table.take(pa.array(at))
-            cells = [first.column("doc_id"), first.column("page_idx"), line[at], span[at], pa.array(text, pa.string()), *corners, *(first.column(c) for c in ("rotation", "font", "size", "weight"))]
-            names = ["doc_id", "page_idx", "line_idx", "span_idx", "text", "x0", "y0", "x1", "y1", "rotation", "font", "size", "weight"]
-            yield from pa.table([c if isinstance(c, (pa.ChunkedArray, pa.Array)) else pa.array(c) for c in cells], names).combine_chunks().to_batches()
-
-    schema = "doc_id long, page_idx int, line_idx int, span_idx int, text string, x0 float, y0 float, x1 float, y1 float, rotation float, font string, size int, weight int"
-    out = _by_page(glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]), "char_idx").mapInArrow(run, schema)
-    return out.select("doc_id", "page_idx", "line_idx", "span_idx", "text", g.raw_box(*[F.col(c) for c in ("x0", "y0", "x1", "y1")]).alias("bbox"), "rotation", "font", "size", "weight")
+            yield from _spans(pages)
+
+    return _boxed(_by_page(glyphs.select(*[c.split()[0] for c in GLYPHS.split(", ")]), "char_idx").mapInArrow(run, SPANS))
+
+
+def read_spans(documents: DataFrame, read: Read) -> DataFrame:
+    """``glyph_spans`` of the glyphs that ``read`` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in read(batches):
+            if pages.num_rows:
+                yield from _spans(pages)
+
+    return _boxed(documents.mapInArrow(run, SPANS))
+
+
+def read_counts(documents: DataFrame, read: Read) -> DataFrame:
+    """(doc_id, page_idx, n_glyphs, n_kept): the glyphs of each page that ``read`` gives any of, and how many of them ``group_glyphs`` keeps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in read(batches):
+            if pages.num_rows:
+                page, *_, keep = _kept(pages)
+                at = np.flatnonzero(_changes(page))
+                first = pages.select(["doc_id", "page_idx"]).take(pa.array(at))
+                n, kept = np.diff(np.append(at, len(page))), np.add.reduceat(keep, at, dtype=np.int64)
+                yield from first.append_column("n_glyphs", pa.array(n)).append_column("n_kept", pa.array(kept)).combine_chunks().to_batches()
+
+    return documents.mapInArrow(run, "doc_id long, page_idx int, n_glyphs long, n_kept long")
 
 
 def spans(grouped: DataFrame) -> DataFrame:
@@ -375,6 +456,24 @@ def _fill(table: pa.Table) -> tuple[list, ...]:
     return out
 
 
+def _filled(pages: pa.Table) -> pa.RecordBatch:
+    doc, page, idx, text, n = _fill(pages)
+    cells = [pa.array(doc, pa.int64()), pa.array(page, pa.int32()), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int32())]
+    return pa.RecordBatch.from_arrays(cells, [c.split()[0] for c in FILLED.split(", ")])
+
+
+def read_fill(documents: DataFrame, read: Read) -> DataFrame:
+    """``fill_regions`` of the regions and glyphs that ``read`` gives: doc_id, page_idx, kind (0 for a region, 1 for a glyph), line_idx, char_idx (a region's idx), ch, x0, y0, x1, y1 and
+    rotation, a page's regions first, then its glyphs by line and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pages in read(batches):
+            if pages.num_rows:
+                yield _filled(pages)
+
+    return documents.mapInArrow(run, FILLED)
+
+
 def fill_regions(grouped: DataFrame, regions: DataFrame) -> DataFrame:
     """(doc_id, page_idx, idx, text, n_chars): the native text of each region (doc_id, page_idx, idx, bbox) that has enough of it.
 
@@ -389,10 +488,8 @@ def fill_regions(grouped: DataFrame, regions: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pages in _whole_pages(batches):
-            doc, page, idx, text, n = _fill(pages)
-            cells = [pa.array(doc, pa.int64()), pa.array(page, pa.int32()), pa.array(idx, pa.int32()), pa.array(text, pa.string()), pa.array(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cells, ["doc_id", "page_idx", "idx", "text", "n_chars"])
+            yield _filled(pages)
 
     rows = _by_page(glyphs.unionByName(asked), "kind", "line_idx", "char_idx")
-    filled = rows.mapInArrow(run, "doc_id long, page_idx int, idx int, text string, n_chars int")
+    filled = rows.mapInArrow(run, FILLED)
     return filled.withColumn("idx", F.col("idx").cast(regions.schema["idx"].dataType))

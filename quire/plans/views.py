@@ -5,10 +5,16 @@ Each view is a function that gives a DataFrame and a common table expression tha
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
+from quire.operators import native_text
 from quire.schema import LAYOUT_LABELS, layout_labels, values_sql
 
 PAGE_WIDTH, PAGE_HEIGHT, LINES = 612, 792, 8
@@ -171,18 +177,122 @@ def latex(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATEX_SQL = f"v_latex AS (SELECT p_partkey AS id, ([{', '.join(chr(39) + x + chr(39) for x in LATEX)}])[p_partkey % {len(LATEX)} + 1] AS raw FROM part)"
 
 
-def glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Characters whose glyphs are made at once; longer documents are taken page by page.
+CHARACTERS = 1 << 17
+
+
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, texts): a row per document, so that a page's lines are in the task that reads it. Texts are shuffled only if ids repeat; the pages of one id are then made of the lines of all its texts."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", "text")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return docs.groupBy("doc_id").agg(F.sort_array(F.collect_list("text")).alias("texts"))
+    return docs.select("doc_id", F.array("text").alias("texts"))
+
+
+class Characters(NamedTuple):
+    """Of whole pages: lines (document, number, top), and characters without line ends (number of their line here, place in it, code point)."""
+
+    doc: np.ndarray
+    number: np.ndarray
+    y0: np.ndarray
+    line: np.ndarray
+    i: np.ndarray
+    code: np.ndarray
+
+    def left(self) -> np.ndarray:
+        """Six points apart, four more after every ninth."""
+        return 72 + 6 * self.i + 4 * ((self.i + np.fmod(self.doc, 9)[self.line]) // 9)
+
+    def signs(self, rows: np.ndarray | slice) -> pa.DictionaryArray:
+        values = np.flatnonzero(np.bincount(self.code))
+        place = np.zeros(int(values[-1]) + 1 if len(values) else 1, dtype=np.int32)
+        place[values] = np.arange(len(values))
+        return pa.DictionaryArray.from_arrays(pa.array(place[self.code][rows]), pa.array([chr(c) for c in values.tolist()], pa.string()))
+
+    def in_order(self, *last: np.ndarray, rows: np.ndarray | slice = slice(None)) -> np.ndarray | slice:
+        """Rows by line, place and ``last``: as they are, but where lines of several texts stand beside each other."""
+        same = (self.doc[1:] == self.doc[:-1]) & (self.number[1:] == self.number[:-1])
+        return np.lexsort((*last, self.i[rows], np.cumsum(np.append(True, ~same))[self.line[rows]])) if same.any() else slice(None)
+
+
+def _runs(doc: int, texts: list[str]) -> Iterator[list[tuple[int, int, str]]]:
+    """A document's whole pages as stretches (document, number of the first line, text) in order."""
+    if len(texts) == 1 and len(texts[0]) <= CHARACTERS:
+        yield [(doc, 0, texts[0])]
+        return
+    split = [t.split("\n") for t in texts]
+    for k in range(0, max(map(len, split)), LINES):
+        yield [(doc, n, s[n]) for n in range(k, k + LINES) for s in split if n < len(s)]
+
+
+def _characters(held: list[tuple[int, int, str]]) -> Characters:
+    code = np.frombuffer("\n".join([*(t for _, _, t in held), ""]).encode("utf-32-le"), "<u4")
+    ends = np.flatnonzero(code == 10)
+    length = np.diff(ends, prepend=-1) - 1
+    n = np.array([t.count("\n") + 1 for _, _, t in held])
+    doc, first = (np.repeat(np.array([x[k] for x in held], dtype=np.int64), n) for k in (0, 1))
+    number = first + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    code = code[code != 10]
+    i = np.arange(len(code)) - np.repeat(np.cumsum(length) - length, length)
+    return Characters(doc, number, 72 + number % LINES * 18 + np.fmod(doc * 3 + number * 7, 9), np.repeat(np.arange(len(doc)), length), i, code)
+
+
+def characters(batches: Iterator[pa.RecordBatch]) -> Iterator[Characters]:
+    """The characters of ``whole_documents``, many whole pages at a time."""
+    held: list[tuple[int, int, str]] = []
+    size = 0
+    for batch in batches:
+        for doc, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for run in _runs(doc, texts):
+                held += run
+                size += sum(len(t) + 1 for _, _, t in run)
+                if size >= CHARACTERS:
+                    yield _characters(held)
+                    held, size = [], 0
+    if held:
+        yield _characters(held)
+
+
+def glyphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Characters of the lines as glyphs: six points apart, four more after every ninth, every eleventh doubled on the spot or as a shadow, two fonts."""
-    each = lines(spark, sf_dir).select("doc_id", "page_idx", "line_idx", "y0", F.posexplode(F.filter(F.split("line", ""), lambda c: c != "")).alias("i", "ch"))
-    d, i = F.col("doc_id"), F.col("i")
-    copies = F.when((i % 11 == 5) & (F.col("ch") != " "), F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    each = each.withColumn("copy", F.explode(copies))
-    shift = F.when(F.col("copy") == 1, F.when(i % 2 == 0, F.lit(0)).otherwise(F.lit(2))).otherwise(F.lit(0))
-    x0 = 72 + 6 * i + 4 * F.floor((i + d % 9) / 9) + shift
-    y0 = F.col("y0") + shift
-    number = ((F.col("line_idx") % LINES) * 1_000_000 + i * 2 + F.col("copy")).cast("int")
-    f = lambda c: c.cast("float")
-    return each.select(
-        "doc_id", "page_idx", number.alias("char_idx"), "ch", f(x0).alias("x0"), f(y0).alias("y0"), f(x0 + 5).alias("x1"), f(y0 + 12).alias("y1"), f(F.lit(0)).alias("rotation"),
-        F.when((d + i) % 97 < 90, F.lit("Regular")).otherwise(F.lit("Bold")).alias("font"), F.lit(10_000).alias("size"), F.lit(400).alias("weight"),
-    )
+    for c in characters(batches):
+        row = np.repeat(np.arange(len(c.code)), 1 + ((c.i % 11 == 5) & (c.code != 32)))
+        copy = np.zeros(len(row), dtype=np.int64)
+        copy[1:] = row[1:] == row[:-1]
+        order = c.in_order(copy, rows=row)
+        row, copy = row[order], copy[order]
+        i, line = c.i[row], c.line[row]
+        shift = copy * (i % 2) * 2
+        doc, x0, y0 = c.doc[line], (c.left()[row] + shift).astype(np.float32), (c.y0[line] + shift).astype(np.float32)
+        fonts = pa.DictionaryArray.from_arrays(pa.array((np.fmod(doc + i, 97) >= 90).astype(np.int32)), pa.array(["Regular", "Bold"]))
+        whole = lambda v: np.full(len(row), v, dtype=np.int32)
+        cells = [doc, (c.number // LINES).astype(np.int32)[line], ((c.number % LINES)[line] * 1_000_000 + i * 2 + copy).astype(np.int32), c.signs(row), x0, y0, x0 + np.float32(5), y0 + np.float32(12), np.zeros(len(row), dtype=np.float32), fonts, whole(10_000), whole(400)]
+        yield pa.table(cells, [x.split()[0] for x in native_text.GLYPHS.split(", ")])
+
+
+#: Regions of every page: two rows of two, the right ones wide.
+AREAS = tuple((72 + 240 * (k % 2), 60 + 76 * (k // 2), 312 if k % 2 == 0 else 1600, 136 + 76 * (k // 2)) for k in range(4))
+
+
+def regions_and_glyphs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Characters of the lines as glyphs whose lines are given, six points apart, four more after every ninth, behind the AREAS of their page."""
+    for c in characters(batches):
+        order = c.in_order()
+        i, line = c.i[order], c.line[order]
+        page_idx = c.number // LINES
+        new = np.append(True, (c.doc[1:] != c.doc[:-1]) | (page_idx[1:] != page_idx[:-1]))
+        page, at = (np.cumsum(new) - 1), np.flatnonzero(new)
+        n, k = len(AREAS) * len(at), len(AREAS)
+        # Both parts are in the pages' order already; a stable sort puts a page's regions before its glyphs.
+        place = np.argsort(np.concatenate([np.repeat(np.arange(len(at)), k), page[line]]), kind="stable")
+        both = lambda a, b, kind: np.concatenate([np.asarray(a, dtype=kind), np.asarray(b, dtype=kind)])[place]
+        x0, y0 = c.left()[order], c.y0[line]
+        corner = lambda m, own: both(np.tile([a[m] for a in AREAS], len(at)), own, np.float32)
+        signs = c.signs(order)
+        numbers = pa.concat_arrays([pa.nulls(n, pa.int32()), signs.indices]).take(pa.array(place))
+        cells = {
+            "doc_id": both(np.repeat(c.doc[at], k), c.doc[line], np.int64), "page_idx": both(np.repeat(page_idx[at], k), page_idx[line], np.int32), "kind": (place >= n).astype(np.int32),
+            "line_idx": both(np.zeros(n), c.number[line], np.int32), "char_idx": both(np.tile(np.arange(k), len(at)), i, np.int32), "ch": pa.DictionaryArray.from_arrays(numbers, signs.dictionary),
+            "x0": corner(0, x0), "y0": corner(1, y0), "x1": corner(2, x0 + 5), "y1": corner(3, y0 + 12), "rotation": np.zeros(len(place), dtype=np.float32),
+        }
+        yield pa.table(cells)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import geometry as g
 from quire.operators import assemble, decode, grouping, native_text, render, tables, vision
+from quire.plans import catalogue
 
 REGION = (
     "doc_id long, page_idx int, order int, idx int, label string, bbox struct<x0:float,y0:float,x1:float,y1:float>, "
@@ -358,3 +359,51 @@ def test_box_properties(spark):
     again = g.box(a["x0"], a["y0"], a["x1"], a["y1"])
     for x, y, same in df.select(g.iou(a, b), g.iou(b, a), a == again).collect():
         assert x == y and 0 <= x <= 1 and same
+
+
+def test_kept_glyphs_of_neighbours_and_others():
+    """Neighbours that are decided at once give what looking at every glyph gives."""
+
+    def one_by_one(page, sign, white, box):
+        keep = []
+        for i in range(len(page)):
+            last = next((j for j in reversed(range(i)) if keep[j]), None)
+            alike = lambda j: j is not None and page[j] == page[i] and sign[j] == sign[i]
+            shadow = alike(last) and native_text._shadows(box[last : last + 1], box[i : i + 1])[0]
+            near = any(keep[j] and alike(j) and (np.abs(box[j].astype(float) - box[i]) <= native_text.NEAR).all() for j in range(i))
+            keep.append(bool(white[i] or not (shadow or near)))
+        return keep
+
+    gone = 0
+    for seed in range(400):
+        r = np.random.default_rng(seed)
+        n = int(r.integers(1, 50))
+        page, sign = np.sort(r.integers(0, 3, n)), r.integers(0, int(r.integers(1, 4)), n)
+        x = np.cumsum(r.choice([0, 0.3, 1.0, 1.5, 2, 6], n)) if seed % 2 else r.integers(0, 9, n) * 0.9
+        corner = np.stack([x, r.choice([0, 0, 0.2, 1.8, 2], n)], axis=1)
+        box = np.concatenate([corner, corner + [5, 12] + r.choice([0, 0, 0.05], (n, 2))], axis=1).astype(np.float32)
+        want = one_by_one(page, sign, sign == 2, box)
+        assert native_text.kept_glyphs(page, sign, sign == 2, box).tolist() == want, seed
+        gone += want.count(False)
+    assert gone > 1000
+
+
+@pytest.mark.parametrize("name", ["glyph_dedup", "glyph_spans_lines", "interval_fill", "native_or_ocr"])
+def test_glyphs_stay_in_the_task_that_reads_them(spark, sf_dir, name):
+    """No exchange of glyphs, and no sort of them: their rows are many times the documents."""
+    plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow") :].split("Relation")[0]
+    assert "texts" in below and not any(x in below for x in ("Repartition", "Sort", "Join", "Aggregate"))
+
+
+def test_pages_of_repeated_ids_and_long_texts(spark, tmp_path):
+    """A page's lines are together whatever text of an id they come from, also where a text is taken page by page; null texts have no pages."""
+    long = "\n".join(f"line {k} " + "x" * 70 for k in range(4_000))
+    for name, rows in (("twice", [(1, "one\ntwo"), (2, "other"), (1, "uno\ndos\ntres"), (3, None)]), ("long", [(1, long), (2, "")])):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    got = {(r["doc_id"], r["page_idx"]): r["n_glyphs"] for r in catalogue.glyph_dedup(spark, f"{tmp_path}/twice").collect()}
+    assert got == {(1, 0): len("onetwounodostres"), (2, 0): len("other")}
+    pages = catalogue.glyph_dedup(spark, f"{tmp_path}/long").collect()
+    lines = long.split("\n")
+    assert len(pages) == 500 and sum(r["n_kept"] for r in pages) == sum(map(len, lines))
+    assert {r["page_idx"]: r["n_kept"] for r in pages}[499] == sum(map(len, lines[-8:]))
