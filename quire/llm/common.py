@@ -105,14 +105,17 @@ def skew_join(rows: DataFrame, values: DataFrame, key: str, n: str, total: int,
     """``rows`` joined with ``values`` (one row per key, with the number ``n`` of ``rows`` it meets) on ``key``, inner or left.
 
     Keys with more than one in HOT of all ``total`` rows, fewer than HOT of them, are sent to the rows; the others meet by a shuffle in which no key has more
-    than that. So no task gathers a hot key. ``rows`` and ``values`` are read twice. Up to ``light`` rows in all, which one task can take whatever their keys, are joined plainly.
+    than that. So no task gathers a hot key. The hot keys (longs, fewer than HOT) are brought to the driver and name the rows of either side, so that no join
+    only tells rows apart; if there are none, the join is a plain one. Else ``rows`` are read twice. Up to ``light`` rows in all, which one task can take whatever their keys are, are joined plainly.
     """
     if total <= light:
         return rows.join(values, key, how)
     large = F.col(n) * HOT > total
-    hot = F.broadcast(values.where(large))
-    few = values.where(~large)
-    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(few, key, how))
+    keys = [r[0] for r in values.where(large & F.col(key).isNotNull()).select(key).collect()]
+    if not keys:
+        return rows.join(values, key, how)
+    among = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return rows.where(among).join(F.broadcast(values.where(among)), key).unionByName(rows.where(~among).join(values.where(~among), key, how))
 
 
 def screened(rows: DataFrame, keys: DataFrame, column: str, out: str) -> DataFrame:

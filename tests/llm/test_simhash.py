@@ -211,3 +211,18 @@ def test_screen_lets_every_key_through(spark):
     seen = screened(rows, rows.where("id % 100 = 0").select(F.col("h").alias("key")), "h", "may")
     assert seen.where("id % 100 = 0 and not may").count() == 0 and seen.where("may").count() < 3000
     assert screened(rows, rows.where("false").select("h"), "h", "may").where("may").count() == 0
+
+
+def test_hot_keys_name_their_rows(spark):
+    """Rows of hot keys are told apart by the keys, not by a join that writes all other rows; null keys and keys without a value stay in a left join."""
+    from quire.llm import common
+
+    rows = spark.range(5_000).selectExpr("case when id < 3000 then 7 when id < 3001 then null else id end as k", "id")
+    values = spark.createDataFrame([(7, 3_000, "hot"), (4_000, 1, "few"), (9_999, 0, "none")], "k long, n long, v string")
+    for how in ("inner", "left"):
+        got = common.skew_join(rows, values, "k", "n", 5_000, how)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" not in plan and "Union" in plan
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(values, "k", how).select(*got.columns).collect()))
+    none = common.skew_join(rows.where("k <> 7"), values.where("n < 100"), "k", "n", 1_000_000, "left")
+    assert "Union" not in none._jdf.queryExecution().optimizedPlan().toString() and none.count() == 1_999
